@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import neardup, sitelines
+from tidemill.llm import neardup, sitelines, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": neardup.found, "p3_found": sitelines.found, "p3_clean": sitelines.cleaned}
+    return {"p1_found": truncation.found, "p1_sources": truncation.shares, "p2_found": neardup.found, "p3_found": sitelines.found, "p3_clean": sitelines.cleaned}
 
 
 def oracle_sql() -> dict[str, str]:
