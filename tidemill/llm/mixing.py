@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from tidemill.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Split pattern of byte-level BPE vocabularies (fixed value).
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Split pattern that belongs to the vocabulary (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS = 4096
 
 
