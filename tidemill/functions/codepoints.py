@@ -42,6 +42,20 @@ def join(texts: Sequence[str | None]) -> str:
     return big + SEP if clean else ""
 
 
+def slices(texts: Sequence[str | None], most: int = 1_500_000) -> list[tuple[int, int]]:
+    """Ranges of rows with about ``most`` characters each (one row at least), so that memory follows texts, not rows."""
+    out, start, held = [], 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if held and held + n > most:
+            out.append((start, i))
+            start, held = i, 0
+        held += n
+    if len(texts) > start:
+        out.append((start, len(texts)))
+    return out
+
+
 def to_array(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 

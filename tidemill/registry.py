@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.operators import timestamps
+from tidemill.plans import captures
+from tidemill.plans.book import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timestamps.found(spark, sf_dir)
+    return captures.captures_by_host(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": timestamps.found}
+def queries() -> dict[str, Query]:
+    return {**QUERIES, "p4_found": timestamps.found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
