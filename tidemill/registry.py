@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.operators import timestamps
-from tidemill.plans import captures
+from tidemill.plans import captures, jobs, library  # noqa: F401 - importing enters their queries
 from tidemill.plans.book import QUERIES, SQL, Query
 
 
