@@ -48,18 +48,18 @@ def tokens(c: Column) -> Column:
 
 def simhash_native(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, simhash)``: one row per text; equal tokens are counted before they are hashed."""
-    each = df.select(key, F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
-    counted = each.groupBy(key, "token").agg(F.count("*").alias("n"))
+    each = df.select(F.col(key).alias("_id"), F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
+    counted = each.groupBy("_id", "token").agg(F.count("*").alias("n"))
     h = F.conv(F.substring(F.sha2("token", 256), 1, 16), 16, -10).cast("bigint")
     hashed = counted.withColumn("h", h)
     lanes = [F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{i}") for i in range(64)]
-    summed = hashed.groupBy(key).agg(*lanes)
+    summed = hashed.groupBy("_id").agg(*lanes)
     value = F.lit(0).cast("bigint")
     for i in range(64):
         value = value.bitwiseOR(F.when(F.col(f"b{i}") >= 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     empty = int(sha256(b"").hexdigest()[:16], 16)
     none = F.lit(empty - (1 << 64) if empty >> 63 else empty).cast("bigint")
-    got = summed.select(key, value.alias("simhash"))
+    got = summed.select(F.col("_id").alias(key), value.alias("simhash"))
     return df.select(key).join(got, key, "left").select(key, F.lpad(F.lower(F.hex(F.coalesce("simhash", none))), 16, "0").alias("simhash"))
 
 

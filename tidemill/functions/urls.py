@@ -49,7 +49,10 @@ def site_of(url: Column, sites: Sequence[Site] = SITES) -> Column:
 
 
 def canonical(url: Column, identity: Mapping[str, Sequence[str]] | None = None, site: Column | None = None, sites: Sequence[Site] = SITES) -> Column:
-    """Without fragment, with identity parameters only (sorted), without a slash at the end of a path; host in lower case."""
+    """Without fragment, with identity parameters only (sorted), without a slash at the end of a path; host in lower case.
+
+    Null for an address of no registered site.
+    """
     site = site if site is not None else site_of(url, sites)
     identity = identity if identity is not None else {s.id: s.identity for s in sites}
     bare = F.substring_index(url, "#", 1)
@@ -62,7 +65,7 @@ def canonical(url: Column, identity: Mapping[str, Sequence[str]] | None = None,
         known = F.array(*(F.lit(n) for n in names)).cast("array<string>")
         allowed = F.when(site == s, known) if allowed is None else allowed.when(site == s, known)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: F.array_contains(allowed, F.substring_index(p, "=", 1))))
-    return F.concat(scheme, F.lit("://"), host(url), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    return F.when(site.isNotNull(), F.concat(scheme, F.lit("://"), host(url), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))))
 
 
 def content_id(canonical_url: Column) -> Column:

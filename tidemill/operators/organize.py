@@ -48,13 +48,13 @@ def keywords(df: DataFrame, key: str, title: str, text: str, lexicon: Sequence[s
     A Latin lexicon term counts both as a term and as a token. Counts are partial within a task; what
     is gathered per document is bounded by its own distinct terms.
     """
-    hay = df.select(key, F.lower(F.concat_ws(" ", *([F.col(title)] * 3), F.col(text))).alias("h"))
+    hay = df.select(F.col(key).alias("_id"), F.lower(F.concat_ws(" ", *([F.col(title)] * 3), F.col(text))).alias("h"))
     of_lexicon = F.array(*(F.struct(F.lit(t).alias("term"), occurrences(F.col("h"), t).alias("n")) for t in lexicon))
     found = F.transform(F.regexp_extract_all("h", F.lit(r"([a-z][a-z0-9+#.-]{1,24})"), F.lit(1)), lambda t: F.struct(t.alias("term"), F.lit(1).alias("n")))
-    each = hay.select(key, F.explode(F.concat(of_lexicon, found)).alias("e")).select(key, "e.term", "e.n").where(F.col("n") > 0)
-    counted = each.where(~F.col("term").isin(*stop)).groupBy(key, "term").agg(F.sum("n").alias("n"))
-    ranked = counted.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))), 1, most).alias("r"))
-    return ranked.select(key, F.transform("r", lambda x: x["term"]).alias("keywords"))
+    each = hay.select("_id", F.explode(F.concat(of_lexicon, found)).alias("e")).select("_id", "e.term", "e.n").where(F.col("n") > 0)
+    counted = each.where(~F.col("term").isin(*stop)).groupBy("_id", "term").agg(F.sum("n").alias("n"))
+    ranked = counted.groupBy("_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))), 1, most).alias("r"))
+    return ranked.select(F.col("_id").alias(key), F.transform("r", lambda x: x["term"]).alias("keywords"))
 
 
 def summary(df: DataFrame, key: str, title: str, text: str, lexicon: Sequence[str] = LEXICON, most: int = 280, picks: int = 4) -> DataFrame:
@@ -62,12 +62,12 @@ def summary(df: DataFrame, key: str, title: str, text: str, lexicon: Sequence[st
 
     One exchange on the key serves the grouping of sentences and of documents.
     """
-    base = df.select(key, F.lower(F.coalesce(F.col(title), F.lit(""))).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    raw = base.select(key, "t", F.posexplode(F.regexp_extract_all("x", F.lit(r"([^。！？!?\n]+[。！？!?]?)"), F.lit(1))).alias("pos", "s"))
+    base = df.select(F.col(key).alias("_id"), F.lower(F.coalesce(F.col(title), F.lit(""))).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("x"))
+    raw = base.select("_id", "t", F.posexplode(F.regexp_extract_all("x", F.lit(r"([^。！？!?\n]+[。！？!?]?)"), F.lit(1))).alias("pos", "s"))
     s = raw.withColumn("s", clean_text(F.col("s"))).where(F.length("s") >= 12).withColumn("k", F.regexp_replace("s", r"[\p{P}\s]+", ""))
-    first = s.repartition(key).groupBy(key, "k").agg(F.min(F.struct("pos", "s", "t")).alias("f"))
-    ordered = first.groupBy(key).agg(F.array_sort(F.collect_list("f")).alias("a"))
-    each = ordered.select(key, F.posexplode("a").alias("j", "f")).select(key, "j", "f.s", "f.t")
+    first = s.repartition("_id").groupBy("_id", "k").agg(F.min(F.struct("pos", "s", "t")).alias("f"))
+    ordered = first.groupBy("_id").agg(F.array_sort(F.collect_list("f")).alias("a"))
+    each = ordered.select("_id", F.posexplode("a").alias("j", "f")).select("_id", "j", "f.s", "f.t")
     low = F.lower("s")
     in_title = F.lit(0)
     for term in lexicon:
@@ -75,8 +75,8 @@ def summary(df: DataFrame, key: str, title: str, text: str, lexicon: Sequence[st
     score = (
         F.greatest(F.lit(0), 6 - F.col("j")) + 5 * in_title + F.when(F.length("s").between(24, 90), 3).otherwise(0) + F.when(F.col("s").rlike("[。！？!?]$"), 1).otherwise(0)
     )
-    best = each.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-score).alias("score"), "j", "s"))), 1, picks).alias("b"))
-    chosen = best.select(key, F.array_sort(F.transform("b", lambda x: F.struct(x["j"].alias("j"), x["s"].alias("s")))).alias("c"))
+    best = each.groupBy("_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-score).alias("score"), "j", "s"))), 1, picks).alias("b"))
+    chosen = best.select("_id", F.array_sort(F.transform("b", lambda x: F.struct(x["j"].alias("j"), x["s"].alias("s")))).alias("c"))
     joined = F.aggregate(
         "c",
         F.struct(F.lit("").alias("t"), F.lit(False).alias("full")),
@@ -85,9 +85,9 @@ def summary(df: DataFrame, key: str, title: str, text: str, lexicon: Sequence[st
         ),
         lambda a: a["t"],
     )
-    told = chosen.select(key, joined.alias("summary"))
+    told = chosen.select("_id", joined.alias("summary"))
     start = F.substring(clean_text(F.col("x")), 1, most)
-    return base.join(told, key, "left").select(key, F.when(F.length("summary") > 0, F.col("summary")).otherwise(start).alias("summary"))
+    return base.join(told, "_id", "left").select(F.col("_id").alias(key), F.when(F.length("summary") > 0, F.col("summary")).otherwise(start).alias("summary"))
 
 
 @dataclass(frozen=True)
