@@ -166,8 +166,10 @@ def leaked(
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             patterns = sent.value
             for b in batches:
-                rows, found = patterns.leaks(b["t"].tolist())
-                yield pd.DataFrame({doc_key: b["k"].to_numpy()[rows], item_key: found})
+                keys, texts = b["k"].to_numpy(), b["t"].tolist()
+                for low, high in C.slices(texts):
+                    rows, found = patterns.leaks(texts[low:high])
+                    yield pd.DataFrame({doc_key: keys[low:high][rows], item_key: found})
 
         scans.append(slim.mapInPandas(scan, schema))
     if not scans:

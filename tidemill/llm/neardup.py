@@ -88,7 +88,8 @@ def anchors(minima: np.ndarray) -> np.ndarray:
 
 def _sketches(docs: DataFrame, key: str, text: str, width: int, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for whole, (low, high) in ((w, r) for w in batches for r in C.slices(w["t"].tolist())):
+            b = whole.iloc[low:high]
             cp, starts, ends = C.normalised(b["t"].tolist())
             long = np.flatnonzero(ends - starts >= max(min_chars, width))
             if not len(long):
@@ -208,8 +209,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for k in range(0, len(whole), 2000):
-                b = whole.iloc[k : k + 2000]
+            for low, high in C.slices([x if len(x) > len(y) else y for x, y in zip(whole["ta"], whole["tb"], strict=True)]):
+                b = whole.iloc[low:high]
                 if not len(b):
                     continue
                 ids, where = np.unique(np.concatenate((b["a"].to_numpy(), b["b"].to_numpy())), return_index=True)

@@ -54,8 +54,8 @@ _LIST = re.compile(r"^\s*(?:[-*•·]|\d+[.、)])\s+\S")
 _SENTENCE = re.compile(r"[。！？!?，,；;]|\.\s")
 
 
-def _weights(cp: np.ndarray) -> np.ndarray:
-    """Size of each code point under each encoding; shape (len(ENCODINGS), len(cp))."""
+def _weights(cp: np.ndarray) -> Iterator[np.ndarray]:
+    """Size of each code point under each encoding, one after the other."""
     one = np.ones(len(cp), np.int32)
     utf8 = one + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
     astral = (cp >= 0x10000).astype(np.int32)
@@ -70,17 +70,28 @@ def _weights(cp: np.ndarray) -> np.ndarray:
     control = ((cp < 32) & (escaped == 0)).astype(np.int32) * 5
     ascii_extra = np.where(cp >= 0x10000, 11, np.where(cp >= 0x80, 5, 0)).astype(np.int32)
     gb = one + (cp >= 0x80) + 2 * astral
-    return np.stack((
-        one, utf8, one + astral, gb, one + html, one + escaped + control + ascii_extra, one + escaped + control, one + bare_lf,
-        utf8 + bare_lf, one - cr_of_pair, utf8 + html,
-    ))
+    yield one
+    yield utf8
+    yield one + astral
+    yield gb
+    yield one + html
+    yield one + escaped + control + ascii_extra
+    yield one + escaped + control
+    yield one + bare_lf
+    yield utf8 + bare_lf
+    yield one - cr_of_pair
+    yield utf8 + html
 
 
 def lengths(texts: list[str]) -> np.ndarray:
     """Length of each text under each encoding; shape (n, len(ENCODINGS))."""
     cp, starts, ends = C.spans(C.to_array(C.join(texts)))
-    total = np.concatenate((np.zeros((len(ENCODINGS), 1), np.int64), np.cumsum(_weights(cp), axis=1, dtype=np.int64)), axis=1)
-    return (total[:, ends] - total[:, starts]).T.astype(np.int32)
+    out = np.zeros((len(ENCODINGS), len(texts)), np.int32)
+    full = ends > starts  # reduceat would read a neighbour for an empty text
+    if full.any():
+        for i, w in enumerate(_weights(cp)):
+            out[i, full] = np.add.reduceat(w, starts[full], dtype=np.int64)
+    return out.T
 
 
 def ending(line: str) -> int:
@@ -132,7 +143,8 @@ def _features(docs: DataFrame, marked: DataFrame) -> DataFrame:
     slim = docs.select("seq", "source", "text").where("text is not null").join(at, "seq", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for whole, (low, high) in ((w, r) for w in batches for r in C.slices(w["text"].tolist())):
+            b = whole.iloc[low:high].reset_index(drop=True)
             texts = b["text"].tolist()
             bodies, kinds, lines = [], [], []
             for t, m in zip(texts, b["marked"], strict=True):
@@ -178,8 +190,8 @@ def line_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """In how many rows each wanted line key stands, anywhere in the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            _, owner, key, _ = sitelines.line_table(b["text"].tolist())
+        for whole, (low, high) in ((w, r) for w in batches for r in C.slices(w["text"].tolist())):
+            _, owner, key, _ = sitelines.line_table(whole["text"].tolist()[low:high])
             rows = pd.DataFrame({"o": owner, "key": key}).drop_duplicates()
             yield rows.groupby("key", as_index=False, sort=False).size().rename(columns={"size": "n"})
 
