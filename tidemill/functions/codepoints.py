@@ -117,6 +117,22 @@ def owners(starts: np.ndarray, ends: np.ndarray, width: int, total: int) -> np.n
     return np.where(inside, owner, -1)
 
 
+def segment_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of disjoint segments by position-weighted sums of mixed code points."""
+    pos = np.arange(len(cp), dtype=np.uint64)
+    inside = np.zeros(len(cp) + 1, np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends, -1)
+    first = np.zeros(len(cp), np.uint64)
+    long = ends > starts
+    first[starts[long]] = starts[long].astype(np.uint64)
+    pos -= np.maximum.accumulate(first) if len(first) else first
+    v = mix(cp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+    v[np.cumsum(inside[:-1]) == 0] = 0
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
+    return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
+
+
 def hash_texts(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """128-bit digests of the texts as two int64 columns, shape (n, 2)."""
     import xxhash

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemill.functions import codepoints as C
+
 _HAN_RUN = re.compile("[㐀-䶿一-鿿豈-﫿]+|[a-z0-9]+")
 
 
@@ -52,11 +54,14 @@ def simhash_native(df: DataFrame, key: str, text: str) -> DataFrame:
     counted = each.groupBy("_id", "token").agg(F.count("*").alias("n"))
     h = F.conv(F.substring(F.sha2("token", 256), 1, 16), 16, -10).cast("bigint")
     hashed = counted.withColumn("h", h)
-    lanes = [F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{i}") for i in range(64)]
-    summed = hashed.groupBy("_id").agg(*lanes)
+    # ones of bit i in the low and of bit i + 32 in the high half of one sum: half the aggregates
+    one = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1 | 1 << 32).cast("bigint"))
+    ones = [F.sum(one(i) * F.col("n")).alias(f"b{i}") for i in range(32)]
+    summed = hashed.groupBy("_id").agg(F.sum("n").alias("n"), *ones)
     value = F.lit(0).cast("bigint")
     for i in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{i}") >= 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        count = F.shiftrightunsigned(f"b{i % 32}", 32) if i >= 32 else F.col(f"b{i}").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+        value = value.bitwiseOR(F.when(2 * count >= F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     empty = int(sha256(b"").hexdigest()[:16], 16)
     none = F.lit(empty - (1 << 64) if empty >> 63 else empty).cast("bigint")
     got = summed.select(F.col("_id").alias(key), value.alias("simhash"))
@@ -83,10 +88,66 @@ def simhash_of(text: str | None, compose: bool = True) -> str:
     return np.packbits(total >= 0).tobytes().hex()
 
 
+@lru_cache(maxsize=1_000_000)
+def _spread(token: str) -> tuple[int, ...]:
+    """The 64 bits of a token's hash in sixteen words of four 16-bit lanes."""
+    bits = np.unpackbits(np.frombuffer(sha256(token.encode()).digest()[:8], np.uint8)).reshape(16, 4).astype(np.int64)
+    return tuple((bits << np.array([0, 16, 32, 48])).sum(axis=1).tolist())
+
+
+_IS_HAN = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)]
+
+
+def simhash_batch(texts: list[str | None]) -> list[str]:
+    """SimHash with NFKC of many texts at once; each distinct token of a batch is hashed once."""
+    cp, starts, ends = C.spans(C.to_array(unicodedata.normalize("NFKC", C.join(texts)).lower()))
+    han = np.zeros(len(cp), bool)
+    for a, z in _IS_HAN:
+        han |= (cp >= a) & (cp <= z)
+    word = ((cp >= 97) & (cp <= 122)) | ((cp >= 48) & (cp <= 57))
+    owner = np.repeat(np.arange(len(starts)), ends - starts)
+    singles = np.flatnonzero(han)
+    pair = han[:-1] & han[1:] & (owner[:-1] == owner[1:]) if len(cp) > 1 else np.zeros(0, bool)
+    pairs = np.flatnonzero(pair)
+    begins = word & ~np.concatenate(([False], word[:-1] & (owner[:-1] == owner[1:]))) if len(cp) else word
+    ws = np.flatnonzero(begins)
+    stops = word & ~np.concatenate((word[1:] & (owner[:-1] == owner[1:]), [False])) if len(cp) else word
+    we = np.flatnonzero(stops) + 1
+    at = np.concatenate((singles, pairs, ws))
+    stop = np.concatenate((singles + 1, pairs + 2, we))
+    keys = np.concatenate((
+        C.mix(cp[singles].astype(np.uint64) + np.uint64(1 << 50)),
+        C.mix(cp[pairs].astype(np.uint64) * np.uint64(1 << 21) + cp[pairs + 1] + np.uint64(1 << 51)),
+        C.segment_hashes(cp, ws, we),
+    ))
+    docs = owner[at] if len(at) else np.zeros(0, np.int64)
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    table = np.array([_spread(C.text_of(cp[at[i] : stop[i]])) for i in first.tolist()], np.int64).reshape(-1, 16)
+    order = np.argsort(docs, kind="stable")
+    which, docs = which[order], docs[order]
+    tokens_in = np.bincount(docs, minlength=len(starts))
+    lanes = np.zeros((len(starts), 16, 4), np.int64)
+    # lanes hold 16 bits, so sums are taken over runs of fewer than 2^15 tokens and added up wide
+    for low in range(0, len(docs), 1 << 15):
+        part = slice(low, low + (1 << 15))
+        d = docs[part]
+        new = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        for c in range(16):
+            sums = np.add.reduceat(table[which[part], c], new)
+            for lane in range(4):
+                lanes[d[new], c, lane] += (sums >> (16 * lane)) & 0xFFFF
+    ones = lanes.reshape(len(starts), 64)
+    bits = 2 * ones >= tokens_in[:, None]
+    out = [r.tobytes().hex() for r in np.packbits(bits, axis=1)]
+    nothing = sha256(b"").hexdigest()[:16]
+    return [x if n else nothing for x, n in zip(out, tokens_in.tolist(), strict=True)]
+
+
 @F.pandas_udf(StringType())
 def simhash(texts: pd.Series) -> pd.Series:
-    """SimHash with NFKC; one Arrow batch at a time, distinct tokens hashed once per worker."""
-    return texts.map(simhash_of)
+    """SimHash with NFKC; slices of Arrow batches at a time."""
+    values = texts.tolist()
+    return pd.Series([h for low, high in C.slices(values, 300_000) for h in simhash_batch(values[low:high])])
 
 
 def as_long(hex16: Column) -> Column:
