@@ -9,7 +9,7 @@ values from multiplying. Roots follow by pointer doubling.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.finger import hamming
@@ -34,29 +34,38 @@ def near_values(values: DataFrame, radius: int) -> DataFrame:
     return keyed.join(other, ["band", "part"]).where(F.col("fp") != F.col("other")).select("fp", "other", d.alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
-def parents(entries: DataFrame, radius: int = 3) -> DataFrame:
-    """``(id, seq, parent, kind, distance)`` of entries (seq, id, ch, fp), one row per id, that follow a like entry.
+def versions(events: DataFrame) -> DataFrame:
+    """Sightings (seq, id, ch, fp) with ``until``, the next sighting of the id; each id's window is short."""
+    w = Window.partitionBy("id").orderBy("seq")
+    return events.select("seq", "id", "ch", "fp", F.lead("seq").over(w).alias("until"))
 
-    Earlier means smaller seq; among the entries that came before the least (distance, id) is the parent.
+
+def parents(events: DataFrame, radius: int = 3) -> DataFrame:
+    """``(id, seq, parent, kind, distance)`` of ids that follow a like entry when they are first seen.
+
+    events: (seq, id, ch, fp), seq unique. A later sighting of an id replaces the fingerprints that others
+    are compared with, but not its own place. Equal content comes first (least id), else the least
+    (distance, id) among the versions that hold at that moment.
     """
+    every = versions(events)
+    first = events.groupBy("id").agg(F.min_by(F.struct("seq", "ch", "fp"), "seq").alias("e")).select("id", "e.seq", "e.ch", "e.fp")
+    other = every.select("ch", F.col("fp").alias("other"), F.col("id").alias("other_id"), F.col("seq").alias("since"), "until")
+    live = (F.col("other_id") != F.col("id")) & (F.col("since") < F.col("seq")) & (F.col("until").isNull() | (F.col("seq") < F.col("until")))
     exact = (
-        entries.where("ch is not null").select("id", "seq", "ch")
-        .join(entries.select(F.col("ch"), F.col("id").alias("other_id"), F.col("seq").alias("other_seq")), "ch")
-        .where(F.col("other_seq") < F.col("seq"))
-        .groupBy("id").agg(F.min("other_id").alias("parent"))
+        first.where("ch is not null").select("id", "seq", "ch").join(other.select("ch", "other_id", "since", "until"), "ch")
+        .where(live).groupBy("id").agg(F.min("other_id").alias("parent"))
     )
-    left = entries.where("fp is not null").join(exact.select("id"), "id", "left_anti").select("id", "seq", "fp")
-    values = entries.where("fp is not null").select("fp").distinct()
+    left = first.where("fp is not null").join(exact.select("id"), "id", "left_anti").select("id", "seq", "fp")
+    values = every.where("fp is not null").select("fp").distinct()
     pairs = near_values(values, radius).unionByName(values.select("fp", F.col("fp").alias("other"), F.lit(0).alias("distance")))
     near = (
-        left.join(pairs, "fp").join(entries.select(F.col("fp").alias("other"), F.col("id").alias("other_id"), F.col("seq").alias("other_seq")), "other")
-        .where(F.col("other_seq") < F.col("seq"))
+        left.join(pairs, "fp").join(other.select("other", "other_id", "since", "until"), "other").where(live)
         .groupBy("id").agg(F.min(F.struct("distance", F.col("other_id").alias("id"))).alias("m"))
     )
     both = exact.select("id", "parent", F.lit("exact").alias("kind"), F.lit(0).alias("distance")).unionByName(
         near.select("id", F.col("m.id").alias("parent"), F.lit("near").alias("kind"), F.col("m.distance").alias("distance"))
     )
-    return both.join(entries.select("id", "seq"), "id")
+    return both.join(first.select("id", "seq"), "id")
 
 
 def roots(links: DataFrame) -> DataFrame:

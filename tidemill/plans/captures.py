@@ -318,3 +318,56 @@ def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _docs(spark, sf_dir).where("author is not null").groupBy("source", F.lower(F.trim("author")).alias("account")).agg(F.count("*").alias("documents"))
     )
+
+
+@query("discovered_pages", r"""
+WITH l AS (SELECT seq, unnest(u) AS link, unnest(range(len(u))) AS pos FROM (SELECT seq, regexp_extract_all(text, 'https?://[A-Za-z0-9._~:/?#@!$&*+;=%-]+[A-Za-z0-9/_-]') AS u FROM collected_documents WHERE text IS NOT NULL)),
+f AS (SELECT link, min({'a': seq, 'b': pos}) AS o FROM l WHERE link LIKE 'https://%' AND link NOT IN (SELECT url FROM catalog WHERE url IS NOT NULL) GROUP BY link)
+SELECT link, o.a AS first_seq FROM f ORDER BY o LIMIT 24""")
+def discovered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 24 linked addresses that the catalog doesn't know, in order of first occurrence."""
+    l = _docs(spark, sf_dir).where("text is not null").select("seq", F.posexplode(urls.text_links(F.col("text"))).alias("pos", "link")).where(F.col("link").startswith("https://"))  # noqa: E741
+    first = l.groupBy("link").agg(F.min(F.struct("seq", "pos")).alias("o"))
+    known = table(spark, sf_dir, "catalog").select(F.col("url").alias("link"))
+    return keyed.without(first, known, "link").orderBy("o").limit(24).select("link", F.col("o.seq").alias("first_seq"))
+
+
+@query("named_domains", r"""
+WITH d AS (SELECT seq, unnest(regexp_extract_all(lower(text), '(?:^|[^a-z0-9@./-])((?:[a-z0-9-]+[.])+(?:com[.]cn|com|cn|net|top|xyz))', 1)) AS domain FROM collected_documents WHERE NOT regexp_matches(lower(text), '[.](com|cn|net|top|xyz)[a-z0-9-]'))
+SELECT domain, count(DISTINCT seq) AS documents FROM d WHERE NOT (domain = 'github.com' OR domain LIKE '%.github.com') GROUP BY domain""")
+def named_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains written out bare in texts, apart from trusted ones."""
+    d = _docs(spark, sf_dir).where(~F.lower("text").rlike("[.](com|cn|net|top|xyz)[a-z0-9-]"))
+    each = d.select("seq", F.explode(urls.bare_domains(F.col("text"), trusted=("github.com",))).alias("domain"))
+    return each.groupBy("domain").agg(F.countDistinct("seq").alias("documents"))
+
+
+@query("completed_texts", """
+WITH n AS (SELECT canonicalUrl AS url, seq, text, length(regexp_replace(text, '[ \t\n\r]+', '', 'g')) AS size FROM collected_documents WHERE text IS NOT NULL),
+b AS (SELECT url, arg_min({'seq': seq, 'size': size}, seq) AS f, arg_min({'seq': seq, 'size': size}, {'a': -size, 'b': seq}) AS l FROM n GROUP BY url)
+SELECT url, f.seq AS first_seq, l.seq AS longest_seq FROM b WHERE l.size >= 1.15 * f.size AND l.size >= f.size + 120""")
+def completed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose first capture a later, clearly longer one completes."""
+    n = _docs(spark, sf_dir).where("text is not null").select(F.col("canonicalUrl").alias("url"), "seq", F.length(F.regexp_replace("text", r"[ \t\n\r]+", "")).alias("size"))
+    b = n.groupBy("url").agg(F.min_by(F.struct("seq", "size"), "seq").alias("f"), F.min_by(F.struct("seq", "size"), F.struct(-F.col("size"), "seq")).alias("l"))
+    clear = (F.col("l.size") >= 1.15 * F.col("f.size")) & (F.col("l.size") >= F.col("f.size") + 120)
+    return b.where(clear).select("url", F.col("f.seq").alias("first_seq"), F.col("l.seq").alias("longest_seq"))
+
+
+@query("image_plan", """
+SELECT seq, pos + 1 AS position, i.url AS image FROM (SELECT seq, unnest(images) AS i, unnest(range(len(images))) AS pos FROM collected_documents)
+WHERE pos < 30 AND regexp_matches(lower(i.url), '^https?://[^?#]+[.](jpg|jpeg|png|gif|webp)([?#]|$)')""")
+def image_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images to fetch: the first thirty of a document with an accepted type. Fetching is the caller's."""
+    i = _docs(spark, sf_dir).select("seq", F.posexplode("images").alias("pos", "i"))
+    ok = F.lower("i.url").rlike("^https?://[^?#]+[.](jpg|jpeg|png|gif|webp)([?#]|$)")
+    return i.where((F.col("pos") < 30) & ok).select("seq", (F.col("pos") + 1).alias("position"), F.col("i.url").alias("image"))
+
+
+@query("organised_documents")
+def organised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain that a save runs: valid documents with id, category, keywords and summary."""
+    good, _ = keyed.quarantine(_docs(spark, sf_dir), [r for r in document_rules() if r[0] != "publishedAt"])
+    base = good.select("seq", urls.content_id(F.col("canonicalUrl")).alias("id"), "title", organize.category(F.col("title"), F.col("text")).alias("category"))
+    k, s = organize.keywords(good, "seq", "title", "text"), organize.summary(good, "seq", "title", "text")
+    return base.join(k, "seq", "left").join(s, "seq", "left")

@@ -111,21 +111,22 @@ def job_results_mismatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sighting of each candidate id with usable fingerprints."""
+    """Sightings of candidates in order of arrival, with usable fingerprints."""
     ch = F.lower("contentHash")
     usable = F.coalesce(ch != "e3b0c44298fc1c14", F.lit(True))
     cols = ["seq", "id", F.when(usable, ch).alias("ch"), F.when(usable, as_long(F.col("simHash"))).alias("fp")]
-    both = table(spark, sf_dir, "candidate_entries").select(*cols).unionByName(table(spark, sf_dir, "candidate_batches").select(*cols))
-    return keyed.first_per_key(both, ["id"], F.col("seq"))
+    return table(spark, sf_dir, "candidate_entries").select(*cols).unionByName(table(spark, sf_dir, "candidate_batches").select(*cols))
 
 
-_ENTRIES_SQL = """e AS (
-  SELECT seq, id, CASE WHEN u THEN lower(contentHash) END AS ch, CASE WHEN u AND regexp_matches(lower(simHash), '^[0-9a-f]{16}$') THEN ('0x' || lower(simHash))::UBIGINT END AS fp FROM (
+_ENTRIES_SQL = """v AS (
+  SELECT seq, id, CASE WHEN u THEN lower(contentHash) END AS ch, CASE WHEN u AND regexp_matches(lower(simHash), '^[0-9a-f]{16}$') THEN ('0x' || lower(simHash))::UBIGINT END AS fp,
+    lead(seq) OVER (PARTITION BY id ORDER BY seq) AS until, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM (
     SELECT seq, id, contentHash, simHash, coalesce(lower(contentHash) <> 'e3b0c44298fc1c14', true) AS u FROM (
-      SELECT seq, id, contentHash, simHash FROM candidate_entries UNION ALL SELECT seq, id, contentHash, simHash FROM candidate_batches)
-    QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)),
-x AS (SELECT a.id, min(b.id) AS parent FROM e a JOIN e b ON a.ch = b.ch AND b.seq < a.seq GROUP BY a.id),
-n AS (SELECT a.id, min({'d': bit_count(xor(a.fp, b.fp))::INT, 'id': b.id}) AS m FROM e a JOIN e b ON b.seq < a.seq AND bit_count(xor(a.fp, b.fp)) <= 3 WHERE a.id NOT IN (SELECT id FROM x) GROUP BY a.id),
+      SELECT seq, id, contentHash, simHash FROM candidate_entries UNION ALL SELECT seq, id, contentHash, simHash FROM candidate_batches))),
+e AS (SELECT * FROM v WHERE n = 1),
+x AS (SELECT a.id, min(b.id) AS parent FROM e a JOIN v b ON a.ch = b.ch AND b.seq < a.seq AND (b.until IS NULL OR a.seq < b.until) AND a.id <> b.id GROUP BY a.id),
+n AS (SELECT a.id, min({'d': bit_count(xor(a.fp, b.fp))::INT, 'id': b.id}) AS m FROM e a JOIN v b ON b.seq < a.seq AND (b.until IS NULL OR a.seq < b.until) AND a.id <> b.id AND bit_count(xor(a.fp, b.fp)) <= 3
+  WHERE a.id NOT IN (SELECT id FROM x) GROUP BY a.id),
 p AS (SELECT id, parent, 'exact' AS kind, 0 AS distance FROM x UNION ALL SELECT id, m.id, 'near', m.d FROM n)"""
 
 
@@ -143,3 +144,24 @@ def candidate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = cluster.parents(cut(_entries(spark, sf_dir))).select("id", "parent")
     members = cluster.roots(links)
     return members.groupBy("root").agg((F.count("*") + 1).alias("members"))
+
+
+@query("run_reports", """
+WITH l AS (SELECT job_id, arg_max(event, seq) AS state, arg_max_null(requested_by, seq) AS requester, arg_min(error_message, seq) AS error FROM job_events GROUP BY job_id)
+SELECT requester, count(*) AS jobs, count_if(state = 'saved') AS saved, count_if(state = 'failed') AS failed,
+  CASE WHEN count_if(state = 'saved') = 0 AND count_if(state = 'failed') > 0 THEN 'failed' WHEN count_if(state NOT IN ('saved', 'failed', 'needs_attention')) > 0 THEN 'running' ELSE 'completed' END AS phase,
+  arg_min(error, job_id) FILTER (WHERE state = 'failed') AS first_error FROM l GROUP BY requester""")
+def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of each requester's jobs: counts, phase, first error among the failed."""
+    e = _events(spark, sf_dir)
+    last = e.groupBy("job_id").agg(
+        F.max_by("event", "seq").alias("state"), F.max_by("requested_by", "seq").alias("requester"),
+        F.min(F.when(F.col("error_message").isNotNull(), F.struct("seq", "error_message"))).alias("e"),
+    )
+    saved, failed = F.count_if(F.col("state") == "saved"), F.count_if(F.col("state") == "failed")
+    first = F.min(F.when((F.col("state") == "failed") & F.col("e").isNotNull(), F.struct("job_id", F.col("e.error_message").alias("m"))))
+    g = last.groupBy("requester").agg(
+        F.count("*").alias("jobs"), saved.alias("saved"), failed.alias("failed"), F.count_if(~F.col("state").isin("saved", "failed", "needs_attention")).alias("open"), first.alias("f")
+    )
+    phase = F.when((F.col("saved") == 0) & (F.col("failed") > 0), "failed").when(F.col("open") > 0, "running").otherwise("completed")
+    return g.select("requester", "jobs", "saved", "failed", phase.alias("phase"), F.col("f.m").alias("first_error"))

@@ -198,3 +198,13 @@ def first_new_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twelve distinct repositories in discovery order (a top-k)."""
     f = _repos(spark, sf_dir).groupBy("id").agg(F.min(F.struct("query_ord", "seq")).alias("o"))
     return f.orderBy("o").limit(12).select("id", "o.seq")
+
+
+@query("inbox_paths", rf"""
+WITH {_LATEST_SQL} SELECT id, source || '/' || substring(coalesce(publishedAt, updatedAt), 1, 10) || '-' || id AS folder, CASE WHEN publishedAt IS NULL THEN 'collected' ELSE 'published' END AS date_source
+FROM latest WHERE publishedAt IS NULL OR regexp_matches(publishedAt, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T')""")
+def inbox_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folder of each entry in a repository's inbox, by publication or else collection date."""
+    rows = latest(_catalog(spark, sf_dir)).where(F.col("publishedAt").isNull() | F.col("publishedAt").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T"))
+    day = F.substring(library.entry_date(F.col("publishedAt"), F.col("updatedAt")), 1, 10)
+    return rows.select("id", F.concat("source", F.lit("/"), day, F.lit("-"), "id").alias("folder"), F.when(F.col("publishedAt").isNull(), "collected").otherwise("published").alias("date_source"))

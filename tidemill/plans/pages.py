@@ -51,3 +51,10 @@ def text_key_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "collected_documents").where("source = 'zsxq' and text is not null")
     records = docs.select(F.regexp_extract("canonicalUrl", r"/topic/(\d+)", 1).alias("topic_id"), "text").where("topic_id <> ''")
     return match.resolve(docs.select("seq", "text"), records).where("stage = 'equal'").select("seq", "topic_id")
+
+
+@query("closest_texts")
+def closest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every row whose seq 50 divides, the five texts of its source with the longest common run."""
+    docs = table(spark, sf_dir, "collected_documents").where("source = 'zsxq' and text is not null")
+    return match.closest(docs.where("seq % 50 = 0").select("seq", "text"), docs.select(F.col("seq").cast("string").alias("topic_id"), "text"))
