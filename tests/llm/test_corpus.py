@@ -94,8 +94,16 @@ def test_segments_merge_logarithmically():
     for part in np.array_split(every, 100):
         s.add(batchdedup.Segment(part, part))
     assert len(s.held) <= 10 and sum(map(len, s.held)) == 1000
-    which, other = s.matches(every[:50])
-    assert {(int(w), int(o)) for w, o in zip(which, other, strict=True)} >= {(i, int(every[i])) for i in range(50)}
+    got = {(int(w), int(o)) for which, other in s.matches(every[:50]) for w, o in zip(which, other, strict=True)}
+    assert got == {(i, int(o)) for i in range(50) for o in every if int(o) >> 48 == int(every[i]) >> 48}
+
+
+def test_hot_prefix_is_walked_in_pieces(monkeypatch):
+    monkeypatch.setattr(batchdedup, "HELD", 7)
+    every = np.arange(50, dtype=np.uint64) + np.uint64(5 << 48)
+    s = batchdedup.Segment(every, every)
+    got = [(int(w), int(o)) for which, other in s.matches(every[:5]) for w, o in zip(which, other, strict=True)]
+    assert len(got) == len(set(got)) == 250
 
 
 def test_shares_and_repeats(spark):

@@ -32,6 +32,7 @@ from tidemill.session import cut
 EMPTY_TEXT = "e3b0c44298fc1c14"  # fixed value: first 16 digits of the SHA-256 of nothing
 DIGITS, STEP, MATCH = 16, 4, 4  # digits of a fingerprint, between suffixes, and of a long match
 SHARD_ENTRIES = 20_000  # fingerprints per shard and position that the number of shards aims at
+HELD = 2_000_000  # matches looked at together
 _U = np.uint64
 
 
@@ -48,16 +49,22 @@ class Segment:
     def merged(self, other: Segment) -> Segment:
         return Segment(np.concatenate((self.suffixes, other.suffixes)), np.concatenate((self.owners, other.owners)))
 
-    def matches(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, fingerprint) for all suffixes that share their first ``MATCH`` digits with a query."""
+    def matches(self, suffixes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query number, fingerprint) for all suffixes that share their first ``MATCH`` digits with a query, ``HELD`` or so at a time."""
         free = _U(64 - 4 * MATCH)
         low = (suffixes >> free) << free
         a = np.searchsorted(self.suffixes, low, "left")
         z = np.searchsorted(self.suffixes, low | ((_U(1) << free) - _U(1)), "right")
-        n = z - a
-        which = np.repeat(np.arange(len(suffixes)), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        return which, self.owners[at]
+        # ranges of a hot prefix are long: they are walked in pieces, so memory stays bounded
+        low = 0
+        while low < len(suffixes):
+            high = low + max(1, int(np.searchsorted(np.cumsum(z[low:] - a[low:]), HELD, "right")))
+            for start in range(0, max(1, int((z[low:high] - a[low:high]).max())), HELD):
+                n = np.clip(z[low:high] - a[low:high] - start, 0, HELD)
+                which = np.repeat(np.arange(low, high), n)
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[low:high] + start, n)
+                yield which, self.owners[at]
+            low = high
 
 
 class Segments:
@@ -71,11 +78,10 @@ class Segments:
             segment = self.held.pop().merged(segment)
         self.held.append(segment)
 
-    def matches(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [s.matches(suffixes) for s in self.held if len(s)]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return np.concatenate([w for w, _ in found]), np.concatenate([o for _, o in found])
+    def matches(self, suffixes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for s in self.held:
+            if len(s):
+                yield from s.matches(suffixes)
 
 
 def rotated(fingerprints: np.ndarray, position: np.ndarray) -> np.ndarray:
@@ -111,15 +117,16 @@ def neighbours(entries: DataFrame, bits: int = 3) -> DataFrame:
             suffix = rotated(fp, b["position"].to_numpy(np.int64))
             new = b["indexed"].to_numpy(bool)
             segments.add(Segment(suffix[new], fp[new]))
-            which, other = segments.matches(suffix)
-            query = fp[which]
-            distance = np.bitwise_count(query ^ other)
-            keep = (distance > 0) & (distance <= bits) & (coverage(query, other) >= MATCH)
-            # a pair is told by the first of its long matches only
-            x, at = query ^ other, b["position"].to_numpy(np.int64)[which]
-            for i in range(0, DIGITS, STEP):
-                keep &= ~((i < at) & (((x >> _U(64 - 4 * (i + MATCH))) & _U(0xFFFF)) == 0))
-            yield pd.DataFrame({"query": query[keep].view(np.int64), "other": other[keep].view(np.int64), "distance": distance[keep].astype(np.int32)})
+            for which, other in segments.matches(suffix):
+                query = fp[which]
+                x = query ^ other
+                distance = np.bitwise_count(x)
+                keep = (distance > 0) & (distance <= bits) & (coverage(query, other) >= MATCH)
+                # a pair is told by the first of its long matches only
+                at = b["position"].to_numpy(np.int64)[which]
+                for i in range(0, DIGITS, STEP):
+                    keep &= ~((i < at) & (((x >> _U(64 - 4 * (i + MATCH))) & _U(0xFFFF)) == 0))
+                yield pd.DataFrame({"query": query[keep].view(np.int64), "other": other[keep].view(np.int64), "distance": distance[keep].astype(np.int32)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []

@@ -103,7 +103,7 @@ def statistics(text: str, english: frozenset[str], chinese: re.Pattern[str]) ->
 
 
 def _measured(docs: DataFrame, words: DataFrame, key: str, text: str) -> DataFrame:
-    rows = words.select("lang", "word").where("word is not null").limit(100_000).collect()  # a word list, fixed by its nature
+    rows = words.select("lang", "word").where("word is not null").collect()  # a word list: its size doesn't follow the documents
     english = frozenset(r[1].lower() for r in rows if _WORD.fullmatch(r[1]))
     han = sorted({r[1] for r in rows if _HAN.search(r[1])}, key=len, reverse=True)
     chinese = re.compile("|".join(map(re.escape, han)) or "(?!)")
