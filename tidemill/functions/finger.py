@@ -50,7 +50,9 @@ def tokens(c: Column) -> Column:
 
 def simhash_native(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, simhash)``: one row per text; equal tokens are counted before they are hashed."""
-    each = df.select(F.col(key).alias("_id"), F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
+    # one exchange of texts by key serves both groupings, so tokens are never exchanged
+    texts = df.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).repartition("_id")
+    each = texts.select("_id", F.explode(tokens(F.col("_t"))).alias("token"))
     counted = each.groupBy("_id", "token").agg(F.count("*").alias("n"))
     h = F.conv(F.substring(F.sha2("token", 256), 1, 16), 16, -10).cast("bigint")
     hashed = counted.withColumn("h", h)
