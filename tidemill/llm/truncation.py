@@ -207,7 +207,8 @@ def truncated(docs: DataFrame) -> DataFrame:
     rows = features.count()
     floor = max(CLOSING_ROWS, CLOSING_SHARE * rows)
     doubtful = features.where(F.col("kind").isin(FORM, OPEN)).select("seq", "source", "kind", "key", "exact", "form", "entry", "lengths")
-    final = doubtful.groupBy("key").agg(F.count("*").alias("ending_rows"))
+    # every ending counts, so that a line which only ever ends texts doesn't seem to stand inside of one
+    final = features.join(doubtful.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("ending_rows"))
     inside = line_rows(docs, final.select("key")).join(final, "key").select("key", (F.col("line_rows") > F.col("ending_rows")).alias("stands_inside"))
     lines = doubtful.groupBy("exact").agg(F.count("*").alias("exact_rows")).where(F.col("exact_rows") >= floor)
     forms = doubtful.where("form <> 0").groupBy("form").agg(F.count("*").alias("form_rows")).where(F.col("form_rows") >= floor)
