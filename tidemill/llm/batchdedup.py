@@ -217,3 +217,20 @@ def found(spark, sf_dir: str) -> DataFrame:
     """Query p5_found: (seq, duplicate_of)."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return duplicates(read("candidate_entries"), read("candidate_batches"))
+
+
+SQL = """
+WITH RECURSIVE r AS (
+  SELECT seq, id, 0 AS b, lower(trim(contentHash)) AS h, lower(trim(simHash)) AS s, coalesce(representativeId, id) AS known FROM candidate_entries
+  UNION ALL SELECT seq, id, batch_no, lower(trim(contentHash)), lower(trim(simHash)), NULL FROM candidate_batches),
+v AS (
+  SELECT seq, id, b, CASE WHEN h <> 'e3b0c44298fc1c14' AND h <> '' THEN h END AS ch,
+    CASE WHEN coalesce(h <> 'e3b0c44298fc1c14', true) AND regexp_matches(s, '^[0-9a-f]{16}$') THEN ('0x' || s)::UBIGINT END AS fp, min(seq) OVER (PARTITION BY id) AS first_seq FROM r),
+m AS (
+  SELECT a.seq, a.id, {'k': CASE WHEN a.ch = b.ch THEN 0 ELSE 1 END, 'd': CASE WHEN a.ch = b.ch THEN 0 ELSE bit_count(xor(a.fp, b.fp))::INT END, 's': b.seq, 'id': b.id} AS x
+  FROM v a JOIN v b ON b.seq < a.seq AND a.id <> b.id AND (a.ch = b.ch OR bit_count(xor(a.fp, b.fp)) <= 3) WHERE a.b > 0 AND a.seq = a.first_seq),
+p AS (SELECT seq, id, min(x).id AS parent FROM m GROUP BY seq, id),
+c(seq, id, top) AS (SELECT seq, id, parent FROM p UNION ALL SELECT c.seq, c.id, p.parent FROM c JOIN p ON c.top = p.id),
+k AS (SELECT id, min(known) AS known FROM r WHERE b = 0 GROUP BY id)
+SELECT c.seq, coalesce(k.known, c.top) AS duplicate_of FROM c LEFT JOIN k ON k.id = c.top WHERE c.top NOT IN (SELECT id FROM p)
+"""
