@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Steps of a job and where each may lead; data, not code.
+#: Steps of a job and where each may lead.
 STEPS: dict[str, tuple[str, ...]] = {
     "queued": ("dispatched", "collecting", "failed"),
     "dispatched": ("queued", "collecting", "needs_attention", "failed"),

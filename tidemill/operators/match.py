@@ -78,6 +78,7 @@ def closest(queries: DataFrame, records: DataFrame, most: int = 5, grams: int =
     return each.select("seq", F.col("x.topic_id").alias("topic_id"), (-F.col("x.n")).alias("common"), (F.col("rank") + 1).alias("rank"))
 
 
+# Keys of captured JSON that hold text, in the order they are read.
 PART_KEYS = ("text", "title", "content", "talk", "article", "question", "answer")
 
 
