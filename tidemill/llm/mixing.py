@@ -21,7 +21,6 @@ key; empty tables give no rows; extra columns are not read.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
