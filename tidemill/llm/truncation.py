@@ -36,6 +36,8 @@ TERMINAL, FORM, OPEN, CUT = 0, 1, 2, 3
 #: Shares of rows from which an ending line or form counts as a usual closing.
 CLOSING_SHARE, CLOSING_ROWS = 0.0004, 3
 
+REMARK = 8  # a text of so few characters in all is a remark, which needs no sentence mark
+
 # Expansion labels of folded text, with or without brackets.
 FOLDED = ("展开全文", "展开全部", "展开", "显示全部", "查看全部", "查看全文", "查看剩余内容", "阅读全文", "查看更多", "收起前的内容已折叠，点此展开",
           "收起前的内容已折叠,点此展开", "read more", "show more", "see more", "continue reading")
@@ -152,6 +154,8 @@ def _features(docs: DataFrame, marked: DataFrame) -> DataFrame:
                 k = ending(last) if last else TERMINAL
                 if folded and k in (OPEN, FORM) and not (last.rstrip() and last.rstrip()[-1] in _ENDS):
                     k = CUT
+                if k == OPEN and len(body.strip()) <= REMARK:
+                    k = FORM
                 bodies.append(body)
                 kinds.append(k)
                 lines.append(last)
