@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import cluster, jobs, keyed, library, match, organize, relational
 from tidemill.plans import captures
+from tidemill.plans import jobs as plans_jobs
 
 
 def rows(df):
@@ -73,6 +74,31 @@ def test_cluster_equals_sequential(spark, seed):
     assert {x.id: x.root for x in cluster.roots(links).collect()} == {i: root[i] for i in expected}
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_cluster_radius_of_reference(spark, seed):
+    r = random.Random(seed)
+    base = [r.getrandbits(64) - 2**63 for _ in range(8)]
+    entries = []
+    for s in range(120):
+        fp = r.choice(base)
+        for _ in range(r.randint(0, 9)):
+            fp ^= 1 << r.randint(0, 62)
+        entries.append((s, f"id{r.randint(0, 90):03d}", r.choice([None, None, "c1", f"u{s}"]), r.choice([fp, fp, fp ^ -(2**63), None])))
+    df = spark.createDataFrame(entries, "seq long, id string, ch string, fp long")
+    expected = forest_by_hand(entries, 12)
+    assert len(expected) > len(forest_by_hand(entries, 3))
+    assert {x.id: (x.parent, x.kind) for x in cluster.parents(df, 12).collect()} == expected
+
+
+def test_candidates_link_at_twelve_bits(spark, tmp_path):
+    entries = [(1, "a", "h1", "0" * 16), (2, "b", "h2", "0000000000000fff"), (3, "c", "h3", "fff8000000000000"), (4, "d", "h4", "000000000000001f")]
+    schema = "seq long, id string, contentHash string, simHash string"
+    spark.createDataFrame(entries, schema).write.parquet(f"{tmp_path}/candidate_entries.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/candidate_batches.parquet")
+    assert rows(plans_jobs.candidate_parents(spark, str(tmp_path))) == [("b", "a", "near", 12), ("d", "a", "near", 5)]
+    assert rows(plans_jobs.candidate_clusters(spark, str(tmp_path))) == [("a", 3)]
+
+
 def test_fold(spark):
     events = [("j", 1, "queued"), ("j", 2, "saved"), ("j", 3, "collecting"), ("j", 4, "saved"), ("j", 5, "queued"), ("k", 1, "saved")]
     df = spark.createDataFrame(events, "job_id string, seq long, event string")

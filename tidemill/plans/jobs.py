@@ -110,6 +110,9 @@ def job_results_mismatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.without(j, table(spark, sf_dir, "collected_documents").select(F.col("canonicalUrl").alias("url")), "url")
 
 
+NEAR = 12  # bits; the reference's radius of near duplicates
+
+
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sightings of candidates in order of arrival, with usable fingerprints."""
     ch = F.lower("contentHash")
@@ -132,8 +135,8 @@ p AS (SELECT id, parent, 'exact' AS kind, 0 AS distance FROM x UNION ALL SELECT
 
 @query("candidate_parents", f"WITH {_ENTRIES_SQL} SELECT id, parent, kind, distance FROM p")
 def candidate_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The earlier entry that each candidate follows: equal content first, else the nearest within three bits."""
-    return cluster.parents(cut(_entries(spark, sf_dir))).select("id", "parent", "kind", "distance")
+    """The earlier entry that each candidate follows: equal content first, else the nearest within twelve bits."""
+    return cluster.parents(cut(_entries(spark, sf_dir)), NEAR).select("id", "parent", "kind", "distance")
 
 
 @query("candidate_clusters", f"""
@@ -141,7 +144,7 @@ WITH RECURSIVE {_ENTRIES_SQL}, r(id, root) AS (SELECT id, id FROM e WHERE id NOT
 SELECT root, count(*) AS members FROM r GROUP BY root HAVING count(*) > 1""")
 def candidate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters founded by their first member; later links never merge two of them."""
-    links = cluster.parents(cut(_entries(spark, sf_dir))).select("id", "parent")
+    links = cluster.parents(cut(_entries(spark, sf_dir)), NEAR).select("id", "parent")
     members = cluster.roots(links)
     return members.groupBy("root").agg((F.count("*") + 1).alias("members"))
 
