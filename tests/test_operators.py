@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import cluster, jobs, keyed, library, match, organize, relational
 from tidemill.plans import captures
 from tidemill.plans import jobs as plans_jobs
+from tidemill.plans import library as plans_library
 
 
 def rows(df):
@@ -157,3 +158,21 @@ def test_as_of_and_range(spark):
     p = spark.createDataFrame([(0.0,), (9.9,), (10.0,), (25.0,)], "x double")
     r = spark.createDataFrame([("r1", 0.0, 10.0), ("r2", 5.0, 30.0)], "n string, lo double, hi double")
     assert rows(relational.in_range(p, r, "x", "lo", "hi", 7.0).select("x", "n")) == [(0.0, "r1"), (10.0, "r2"), (25.0, "r2"), (9.9, "r1"), (9.9, "r2")]
+
+
+CATALOG = "id string, source string, title string, relativePath string, updatedAt string, publishedAt string, sync struct<at: string>"
+
+
+def test_inbox_keeps_every_entry(spark, tmp_path):
+    at = "2024-03-05T10:00:00.000Z"
+    values = {
+        "iso": ("zsxq", "2023-09-12T08:37:33+01:00", "2023-09-12", "published"), "none": ("zsxq", None, "2024-03-05", "collected"),
+        "han": ("wechat", "2023年7月18日 01:05", "2023-07-18", "published"), "day": ("zsxq", "2023-10-08", "2023-10-08", "published"),
+        "epoch": ("github", "1693839265", "2023-09-04", "published"), "ago": ("nowcoder", "昨天 23:30", "2024-03-04", "published"),
+        "late": ("nowcoder", "12-30 23:30", "2023-12-30", "published"), "null": ("github", "null", "2024-03-05", "collected"),
+        "empty": ("github", "", "2024-03-05", "collected"), "zero": ("github", "0000-00-00 00:00:00", "2024-03-05", "collected"),
+    }
+    data = [(k, s, "t", "p", at, v, None) for k, (s, v, _, _) in values.items()]
+    spark.createDataFrame(data, CATALOG).write.parquet(f"{tmp_path}/catalog.parquet")
+    got = {r.id: (r.folder, r.date_source) for r in plans_library.inbox_paths(spark, str(tmp_path)).collect()}
+    assert got == {k: (f"{s}/{day}-{k}", kind) for k, (s, _, day, kind) in values.items()}

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 US = 1_000_000
 DAY = 86_400 * US
@@ -411,6 +412,26 @@ def instants(
     return slim.mapInPandas(run, "seq bigint, utc_us bigint")
 
 
+def source_minutes(source: Column) -> Column:
+    """Minutes east of UTC that a source's dates have without a zone."""
+    return F.when(source.isin("wechat", "zsxq", "nowcoder"), 480).otherwise(0)
+
+
+def source_yearless(source: Column) -> Column:
+    """Whether a source writes dates without their year."""
+    return F.coalesce(source == "nowcoder", F.lit(False))
+
+
+@F.pandas_udf(LongType())
+def utc_micros(value: pd.Series, default_minutes: pd.Series, collected_us: pd.Series, yearless: pd.Series) -> pd.Series:
+    """The same conversion as a column, for rows without a zone of their own; null where the value denotes no instant."""
+    got = convert(
+        [v if isinstance(v, str) else None for v in value], [None] * len(value), default_minutes.fillna(0).astype(np.int64).tolist(),
+        collected_us.astype("Int64").fillna(NAT).to_numpy(np.int64), yearless.to_numpy(bool),
+    )
+    return pd.Series(got, dtype="Int64").mask(got == NAT)
+
+
 def document_instants(docs: DataFrame) -> DataFrame:
     """``publishedAt`` of captured documents: clock zone of the row, else +08:00 but UTC for github."""
     return instants(
@@ -418,9 +439,9 @@ def document_instants(docs: DataFrame) -> DataFrame:
         F.col("publishedAt"),
         F.col("seq"),
         F.col("sourceMetadata")["clockZone"],
-        F.when(F.col("source").isin("wechat", "zsxq", "nowcoder"), 480).otherwise(0),
+        source_minutes(F.col("source")),
         F.col("collectedAt"),
-        F.coalesce(F.col("source") == "nowcoder", F.lit(False)),
+        source_yearless(F.col("source")),
     )
 
 

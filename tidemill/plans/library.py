@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import text
-from tidemill.operators import keyed, library
+from tidemill.operators import keyed, library, timestamps
 from tidemill.plans.book import query, table
 
 _STATE_SQL = """CASE WHEN sync IS NULL OR sync.state IS NULL THEN 'pending'
@@ -204,7 +204,18 @@ def first_new_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_LATEST_SQL} SELECT id, source || '/' || substring(coalesce(publishedAt, updatedAt), 1, 10) || '-' || id AS folder, CASE WHEN publishedAt IS NULL THEN 'collected' ELSE 'published' END AS date_source
 FROM latest WHERE publishedAt IS NULL OR regexp_matches(publishedAt, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T')""")
 def inbox_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folder of each entry in a repository's inbox, by publication or else collection date."""
-    rows = latest(_catalog(spark, sf_dir)).where(F.col("publishedAt").isNull() | F.col("publishedAt").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T"))
-    day = F.substring(library.entry_date(F.col("publishedAt"), F.col("updatedAt")), 1, 10)
-    return rows.select("id", F.concat("source", F.lit("/"), day, F.lit("-"), "id").alias("folder"), F.when(F.col("publishedAt").isNull(), "collected").otherwise("published").alias("date_source"))
+    """Folder of each entry in a repository's inbox, by publication or else collection date.
+
+    An ISO date is taken as written; other forms are read by the timestamp operator, and give the day in the
+    source's default zone. A value that denotes no instant counts as none.
+    """
+    iso = F.col("publishedAt").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T")
+    shift = timestamps.source_minutes(F.col("source"))
+    raw = F.when(~iso, F.col("publishedAt"))
+    read = timestamps.utc_micros(raw, shift, F.unix_micros(F.try_to_timestamp("updatedAt")), timestamps.source_yearless(F.col("source")))
+    minutes = F.floor(F.col("us") / 60_000_000) + shift
+    written = F.date_from_unix_date(F.floor(minutes / 1440).cast("int")).cast("string")
+    rows = latest(_catalog(spark, sf_dir)).select("id", "source", "publishedAt", "updatedAt", read.alias("us"))
+    published = F.when(iso, F.substring("publishedAt", 1, 10)).otherwise(written)
+    day = library.entry_date(published, F.substring("updatedAt", 1, 10))
+    return rows.select("id", F.concat("source", F.lit("/"), day, F.lit("-"), "id").alias("folder"), F.when(published.isNull(), "collected").otherwise("published").alias("date_source"))
\ No newline at end of file
