@@ -7,6 +7,7 @@ from tidemill.operators import cluster, jobs, keyed, library, match, organize, r
 from tidemill.plans import captures
 from tidemill.plans import jobs as plans_jobs
 from tidemill.plans import library as plans_library
+from tidemill.plans import relational as plans_relational
 
 
 def rows(df):
@@ -176,3 +177,9 @@ def test_inbox_keeps_every_entry(spark, tmp_path):
     spark.createDataFrame(data, CATALOG).write.parquet(f"{tmp_path}/catalog.parquet")
     got = {r.id: (r.folder, r.date_source) for r in plans_library.inbox_paths(spark, str(tmp_path)).collect()}
     assert got == {k: (f"{s}/{day}-{k}", kind) for k, (s, _, day, kind) in values.items()}
+
+
+def test_centroids_of_all_dimensions(spark, tmp_path):
+    data = [("a", [float(i) for i in range(7)]), ("a", [float(i + 1) for i in range(7)]), ("b", [1.0] * 5)]
+    spark.createDataFrame(data, "label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert rows(plans_relational.embedding_centroids(spark, str(tmp_path))) == sorted([("a", i, i + 0.5) for i in range(7)] + [("b", i, 1.0) for i in range(5)], key=repr)
