@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +185,19 @@ def test_centroids_of_all_dimensions(spark, tmp_path):
     data = [("a", [float(i) for i in range(7)]), ("a", [float(i + 1) for i in range(7)]), ("b", [1.0] * 5)]
     spark.createDataFrame(data, "label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert rows(plans_relational.embedding_centroids(spark, str(tmp_path))) == sorted([("a", i, i + 0.5) for i in range(7)] + [("b", i, 1.0) for i in range(5)], key=repr)
+
+
+def test_whole_texts_of_controls_and_domains(spark, tmp_path):
+    texts = [
+        "正文\r\n展开全部\r\n后文", "正文\n收起\n后文", "正文\n 全文 \n后文", "see example.community and shop.net, then a.cnblogs, b.com.cn",
+        "at x.com-y and x.com", "mail me@q.com or api.github.com or notgithub.com", None, "点击展开全部",
+    ]
+    data = list(enumerate(texts))
+    spark.createDataFrame(data, "seq long, text string").write.parquet(f"{tmp_path}/collected_documents.parquet")
+    # as in the reference, the label and blanks around it go and its line stays empty
+    assert rows(captures.controls_removed(spark, str(tmp_path))) == [(0, 5), (1, 2), (2, 4)]
+    expected = Counter()
+    for _, t in data:
+        expected.update({d for d in re.findall(r"(?<![a-z0-9@./-])((?:[a-z0-9-]+[.])+(?:com[.]cn|com|cn|net|top|xyz))(?![a-z0-9-])", (t or "").lower()) if not f".{d}".endswith(".github.com")})
+    assert expected == {"shop.net": 1, "b.com.cn": 1, "x.com": 1, "notgithub.com": 1}
+    assert dict(rows(captures.named_domains(spark, str(tmp_path)))) == expected

@@ -193,7 +193,7 @@ SELECT seq, length(text) - length(b) AS removed FROM (
   FROM collected_documents WHERE regexp_matches(text, '(^|\n)(展开全部|展开全文|收起|阅读全文|显示全部|全文)(\n|$)') AND NOT contains(text, chr(13)))""")
 def controls_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters that leave with whole-line control labels."""
-    rows = _docs(spark, sf_dir).where(F.col("text").rlike(r"(^|\n)(展开全部|展开全文|收起|阅读全文|显示全部|全文)(\n|$)") & ~F.contains("text", F.lit("\r")))
+    rows = _docs(spark, sf_dir).where(F.col("text").rlike(rf"(^|\n)\s*(?:{'|'.join(text.CONTROLS)})[^\S\n]*(\n|$)"))
     return rows.select("seq", (F.length("text") - F.length(text.strip_controls(F.col("text")))).alias("removed"))
 
 
@@ -337,8 +337,7 @@ WITH d AS (SELECT seq, unnest(regexp_extract_all(lower(text), '(?:^|[^a-z0-9@./-
 SELECT domain, count(DISTINCT seq) AS documents FROM d WHERE NOT (domain = 'github.com' OR domain LIKE '%.github.com') GROUP BY domain""")
 def named_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains written out bare in texts, apart from trusted ones."""
-    d = _docs(spark, sf_dir).where(~F.lower("text").rlike("[.](com|cn|net|top|xyz)[a-z0-9-]"))
-    each = d.select("seq", F.explode(urls.bare_domains(F.col("text"), trusted=("github.com",))).alias("domain"))
+    each = _docs(spark, sf_dir).select("seq", F.explode(urls.bare_domains(F.col("text"), trusted=("github.com",))).alias("domain"))
     return each.groupBy("domain").agg(F.countDistinct("seq").alias("documents"))
 
 
