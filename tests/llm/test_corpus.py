@@ -177,3 +177,18 @@ def test_statistics():
 
     s = dict(zip(quality.STATS, quality.statistics("The cat sat. 我的！\n- x", frozenset({"the"}), re.compile("的")), strict=False))
     assert s["common_words"] == pytest.approx(2 / 6) and s["entry_lines"] == 0.5 and s["punctuated_lines"] == 0.5
+
+
+def test_repeated_words_and_unspaced_sentences(spark):
+    rng = random.Random(4)
+    common = "the of and to we it is that for on with as".split()
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, 9))) for _ in range(600)]
+    prose = [" ".join(" ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(rng.randrange(8, 15))) + "." for _ in range(rng.randrange(3, 30))) for _ in range(200)]
+    few = vocabulary[:5] + common[:3]
+    paragraph = " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(150))
+    junk = ["Nothing in it depends on the cache so we remove the rest of code." * 9, " ".join(rng.choice(few) for _ in range(120)), f"{paragraph} " * 6]
+    rows = [(i, t) for i, t in enumerate(prose + junk)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    words = spark.createDataFrame([("en", w) for w in common], WORDS)
+    got = {r.doc_id: r.form for r in quality.profiled(d, words).collect()}
+    assert got == {i: "prose" if i < len(prose) else "junk" for i in got} and len(got) == len(rows)

@@ -2,7 +2,7 @@
 
 Each document gets word count, mean word length, symbol ratio, share of lines ending in punctuation, share
 of common words and the shares behind the forms (entries, rows of cells, unreadable characters, machine
-runs, repeated sentences). For each language (by script, as ``lang`` is often wrong) the mean and
+runs, repeated sentences, repeated words). For each language (by script, as ``lang`` is often wrong) the mean and
 covariance of prose are fitted robustly over all documents: medians and absolute deviations choose a
 first core, whose moments are refitted on the documents near it. The squared Mahalanobis distance is the
 sum of one contribution per statistic. Documents beyond the cut are outliers; an outlier's form follows
@@ -28,13 +28,14 @@ from tidemill.session import cut
 
 STATS = (
     "log_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "entry_lines", "cell_lines", "odd_chars",
-    "machine_runs", "repeated_sentences", "log_line_width", "digit_ratio",
+    "machine_runs", "repeated_sentences", "log_line_width", "digit_ratio", "repeated_words",
 )
 #: Least spread of each statistic in prose; keeps constant ones from dividing by zero.
-SPREAD = np.array([0.3, 0.3, 0.03, 0.1, 0.05, 0.08, 0.05, 0.02, 0.03, 0.06, 0.3, 0.03])
+SPREAD = np.array([0.3, 0.3, 0.03, 0.1, 0.05, 0.08, 0.05, 0.02, 0.03, 0.06, 0.3, 0.03, 0.06])
 WHOLE = 0.8  # share of lines that makes a list or a table
-COMMON_FLOOR, ODD, SYMBOLS, MACHINE, REPEATED = 0.05, 0.12, 0.25, 0.5, 0.6
-CUT = 26.2  # 0.99 quantile of chi square with 12 degrees of freedom
+COMMON_FLOOR, ODD, SYMBOLS, MACHINE, REPEATED, WORDY = 0.05, 0.12, 0.25, 0.5, 0.6, 0.55
+CUT = 27.7  # 0.99 quantile of chi square with 13 degrees of freedom
+STRETCH, FEW, SHINGLE = 100, 20, 8  # words of a stretch, least words that can show repetition, words of a shingle
 
 _HAN = re.compile("[㐀-鿿豈-﫿]")
 _WORD = re.compile("[A-Za-z]+")
@@ -50,7 +51,8 @@ _PROSE_MARK = re.compile(r"[。，！？]|, ")
 _ODD = re.compile("[�\u0080-ÿ■-◿€œ‚„†‡ˆ‰Š‹ŒŽ™š›žŸ˜]|锟斤拷|烫烫|屯屯|[锟烫屯拷]")
 _SYMBOL = re.compile(r"[!-/:-@\[-`{-~]")
 _RUN = re.compile(r"[A-Za-z0-9+/=]{30,}")
-_SPLIT = re.compile(r"[。！？!?\n]+|\.\s")
+_SPLIT = re.compile(r"[。！？!?\n]+|\.\s|(?<=[a-z0-9)\]\"'])\.(?=[A-Z㐀-鿿豈-﫿])")
+_TOKEN = re.compile("[a-z]+|[㐀-鿿豈-﫿]+")
 _END = re.compile(r"[。．.！!？?…：:；;」』”\"’')）]\s*$")
 _SPACE = re.compile(r"\s+")
 
@@ -80,6 +82,25 @@ def is_row(line: str) -> bool:
     return False
 
 
+def repeated_words(text: str) -> float:
+    """Share of words (pairs of neighbours in Chinese) that repeat one of their stretch, or of shingles that repeat one of the text."""
+    words: list[str] = []
+    for run in _TOKEN.findall(text.lower()):
+        if run[0] < "㐀" or len(run) < 3:
+            words.append(run)
+        else:
+            words.extend(map(str.__add__, run, run[1:]))
+    n = len(words)
+    if n < FEW:
+        return 0.0
+    parts = [words[i : i + STRETCH] for i in range(0, n - STRETCH + 1, STRETCH)] or [words]
+    if n > STRETCH and n % STRETCH:
+        parts.append(words[-STRETCH:])
+    near = 1 - sum(len(set(p)) for p in parts) / sum(map(len, parts))
+    far = 1 - len(set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))) / (n - SHINGLE + 1)
+    return max(near, far)
+
+
 def statistics(text: str, english: frozenset[str], chinese: re.Pattern[str]) -> list[float]:
     """[statistics in the order of STATS..., words, lines, visible characters, language is Chinese]."""
     lines = [x for x in text.split("\n") if x.strip()]
@@ -97,7 +118,7 @@ def statistics(text: str, english: frozenset[str], chinese: re.Pattern[str]) ->
         math.log1p(words), (sum(map(len, latin)) + han) / max(1, words), len(_SYMBOL.findall(visible)) / n,
         sum(bool(_END.search(x)) for x in lines) / len(lines), common / max(1, words), sum(map(is_entry, lines)) / len(lines),
         sum(map(is_row, lines)) / len(lines), sum(map(len, _ODD.findall(visible))) / n, sum(map(len, _RUN.findall(text))) / n, repeated,
-        math.log1p(n / len(lines)), sum(map(str.isdigit, visible)) / n,
+        math.log1p(n / len(lines)), sum(map(str.isdigit, visible)) / n, repeated_words(text),
         words, len(lines), n, float(han > 0.3 * (han + sum(map(len, latin)))),
     ]
 
@@ -165,7 +186,7 @@ def prose_fit(measured: DataFrame) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
     centre = {r["zh"]: np.array([r[s] for s in STATS]) for r in flat.groupBy("zh").agg(*(F.percentile_approx(s, 0.5, 2000).alias(s) for s in STATS)).collect()}
 
     def first(zh: bool, x: np.ndarray) -> np.ndarray:
-        return (np.abs(x - centre.get(zh, np.zeros(len(STATS)))) <= 4 * np.maximum(SPREAD, [1.2, 1.2, 0, 0.2, 0.05, 0.02, 0, 0, 0, 0, 1.0, 0])).all(axis=1)
+        return (np.abs(x - centre.get(zh, np.zeros(len(STATS)))) <= 4 * np.maximum(SPREAD, [1.2, 1.2, 0, 0.2, 0.05, 0.02, 0, 0, 0, 0, 1.0, 0, 0.1])).all(axis=1)
 
     fit = _moments(measured, first)
     for _ in range(2):
@@ -181,7 +202,7 @@ def form_of(x: np.ndarray, lines: np.ndarray, chars: np.ndarray) -> np.ndarray:
     entries = (g["entry_lines"] >= WHOLE) & (lines >= 3)
     unreadable = (g["odd_chars"] >= ODD) | (g["machine_runs"] >= MACHINE)
     symbols = (g["symbol_ratio"] >= SYMBOLS) & ((g["symbol_ratio"] >= WHOLE) | ~(table | entries))
-    loop = (g["repeated_sentences"] >= REPEATED) & ~table & ~entries
+    loop = ((g["repeated_sentences"] >= REPEATED) | (g["repeated_words"] >= WORDY)) & ~table & ~entries
     wordless = (g["common_words"] < COMMON_FLOOR) & (chars >= 30) & ~table & ~entries
     return np.select([unreadable | symbols | loop, table, entries, wordless], ["junk", "table", "list", "junk"], "prose")
 
