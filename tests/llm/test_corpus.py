@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemill.llm import batchdedup, leakage, mixing, quality
+from tidemill.llm import batchdedup, leakage, mixing, quality, truncation
 
 WORDS = "lang string, word string"
 
@@ -192,3 +192,11 @@ def test_repeated_words_and_unspaced_sentences(spark):
     words = spark.createDataFrame([("en", w) for w in common], WORDS)
     got = {r.doc_id: r.form for r in quality.profiled(d, words).collect()}
     assert got == {i: "prose" if i < len(prose) else "junk" for i in got} and len(got) == len(rows)
+
+
+def test_copies_of_a_cut_text_are_no_closing(spark):
+    cut = "我们把缓存的策略重新梳理了一遍，发现真正的问题在于请求的顺序和预期的完"
+    rows = [(i, "a", f"w{i}", f"第{i}篇讲的是{'甲乙丙丁戊己庚辛'[i % 8] * (i % 5 + 1)}的经过，写得很完整。") for i in range(40)]
+    rows += [(100 + i, "a", f"x{i}", cut) for i in range(20)]
+    d = spark.createDataFrame(rows, "seq long, source string, author string, text string")
+    assert {r.seq for r in truncation.truncated(d).collect()} == set(range(100, 120))

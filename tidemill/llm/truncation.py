@@ -9,7 +9,8 @@
 3. Endings are inspected: a sentence mark ends a text; a broken character, entity, tag or an ellipsis
    with an expansion label cuts it; anything else is complete only if it has the form of a closing
    (signature, hash tags, reference, link, fence, list entry) or recurs as a whole line or closing form
-   in other rows, and doesn't sit at a hidden limit.
+   in other texts, and doesn't sit at a hidden limit. Closings, forms, page lines and limits are counted over
+   distinct texts: copies of one text prove nothing about its ending.
 
 Defined results: null and blank texts are not truncated (nothing breaks off); a flag in ``truncated`` is
 not read; repeated rows are judged alike; empty tables give no rows; only named columns are read.
@@ -33,7 +34,7 @@ from tidemill.session import cut
 ENCODINGS = ("points", "utf8", "utf16", "gb18030", "html", "json_ascii", "json", "crlf", "crlf_utf8", "lf", "html_utf8")
 PAGE = sitelines.Rule(source_share=0.01, account_share=0.05)
 TERMINAL, FORM, OPEN, CUT = 0, 1, 2, 3
-#: Shares of rows from which an ending line or form counts as a usual closing.
+#: Shares of distinct bodies from which an ending line or form counts as a usual closing.
 CLOSING_SHARE, CLOSING_ROWS = 0.0004, 3
 
 REMARK = 8  # a text of so few characters in all is a remark, which needs no sentence mark
@@ -167,11 +168,11 @@ def _features(docs: DataFrame, marked: DataFrame) -> DataFrame:
             entry = [bool(_LIST.match(x)) or (len(x) < 40 and not _SENTENCE.search(x)) for x in lines]
             yield pd.DataFrame({
                 "seq": b["seq"], "source": b["source"], "kind": kinds, "key": key, "exact": exact, "form": form,
-                "entry": entry, "lengths": list(both),
+                "entry": entry, "lengths": list(both), "body": [sitelines.code(x, 4) for x in bodies],
             })
 
     return slim.mapInPandas(
-        run, "seq bigint, source string, kind int, key bigint, exact bigint, form bigint, entry boolean, lengths array<int>"
+        run, "seq bigint, source string, kind int, key bigint, exact bigint, form bigint, entry boolean, lengths array<int>, body bigint"
     )
 
 
@@ -180,7 +181,8 @@ def hidden_limits(features: DataFrame, reach: int = 12, ratio: float = 6.0, leas
 
     measure is an index into the encodings of the text, then of the body.
     """
-    each = features.select("source", (F.col("kind") >= OPEN).cast("int").alias("open"), F.posexplode("lengths").alias("measure", "length"))
+    once = features.groupBy("source", "body").agg(F.min_by(F.struct("kind", "lengths"), "seq").alias("f")).select("source", "f.*")
+    each = once.select("source", (F.col("kind") >= OPEN).cast("int").alias("open"), F.posexplode("lengths").alias("measure", "length"))
     count = each.groupBy("source", "measure", "length").agg(F.sum("open").alias("open_rows"), F.count("*").alias("rows"))
     near = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-reach, reach)
     around = (F.sum("open_rows").over(near) - F.col("open_rows")) / F.lit(2.0 * reach)
@@ -203,26 +205,32 @@ def line_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return parts.join(wanted, "key", "left_semi").groupBy("key").agg(F.sum("n").alias("line_rows"))
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """One row of each text of a source, the first captured."""
+    first = docs.where("text is not null").groupBy("source", F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min("seq").alias("seq"))
+    return docs.join(first.select("seq"), "seq", "left_semi")
+
+
 def truncated(docs: DataFrame) -> DataFrame:
     """``(seq, source, reason, limit_measure, limit_length)`` of the texts that break off."""
-    marked = sitelines.marked_lines(docs, sitelines.site_lines(docs, PAGE))
+    marked = sitelines.marked_lines(docs, sitelines.site_lines(distinct_texts(docs), PAGE))
     features = cut(_features(docs, marked))
     limits = cut(hidden_limits(features))
-    rows = features.count()
-    floor = max(CLOSING_ROWS, CLOSING_SHARE * rows)
-    doubtful = features.where(F.col("kind").isin(FORM, OPEN)).select("seq", "source", "kind", "key", "exact", "form", "entry", "lengths")
+    bodies = features.select("body").distinct().count()
+    floor = max(CLOSING_ROWS, CLOSING_SHARE * bodies)
+    doubtful = features.where(F.col("kind").isin(FORM, OPEN)).select("seq", "source", "kind", "key", "exact", "form", "entry", "lengths", "body")
     # every ending counts, so that a line which only ever ends texts doesn't seem to stand inside of one
     final = features.join(doubtful.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("ending_rows"))
     inside = line_rows(docs, final.select("key")).join(final, "key").select("key", (F.col("line_rows") > F.col("ending_rows")).alias("stands_inside"))
-    lines = doubtful.groupBy("exact").agg(F.count("*").alias("exact_rows")).where(F.col("exact_rows") >= floor)
-    forms = doubtful.where("form <> 0").groupBy("form").agg(F.count("*").alias("form_rows")).where(F.col("form_rows") >= floor)
+    lines = doubtful.select("exact", "body").distinct().groupBy("exact").agg(F.count("*").alias("exact_rows")).where(F.col("exact_rows") >= floor)
+    forms = doubtful.where("form <> 0").select("form", "body").distinct().groupBy("form").agg(F.count("*").alias("form_rows")).where(F.col("form_rows") >= floor)
     hits = (
         doubtful.select("seq", "source", F.posexplode("lengths").alias("measure", "length"))
         .join(limits.select("source", "measure", "length"), ["source", "measure", "length"])
         .groupBy("seq").agg(F.min_by(F.struct("measure", "length"), "measure").alias("limit"))
     )
     judged = (
-        doubtful.drop("lengths").join(inside, "key", "left").join(lines, "exact", "left").join(forms, "form", "left").join(hits, "seq", "left")
+        doubtful.drop("lengths", "body").join(inside, "key", "left").join(lines, "exact", "left").join(forms, "form", "left").join(hits, "seq", "left")
     )
     usual = F.col("exact_rows").isNotNull() | (F.coalesce(F.col("stands_inside"), F.lit(False)) & F.col("entry"))
     closing = usual | F.col("form_rows").isNotNull()
