@@ -201,3 +201,31 @@ def test_whole_texts_of_controls_and_domains(spark, tmp_path):
         expected.update({d for d in re.findall(r"(?<![a-z0-9@./-])((?:[a-z0-9-]+[.])+(?:com[.]cn|com|cn|net|top|xyz))(?![a-z0-9-])", (t or "").lower()) if not f".{d}".endswith(".github.com")})
     assert expected == {"shop.net": 1, "b.com.cn": 1, "x.com": 1, "notgithub.com": 1}
     assert dict(rows(captures.named_domains(spark, str(tmp_path)))) == expected
+
+
+def test_inbox_paths_keep_every_entry(spark, tmp_path):
+    import __spark_entry__ as engine
+
+    sync = "struct<state: string, target: string, at: string, committed: boolean, pushed: boolean, pushFailed: boolean, error: string>"
+    schema = f"id string, source string, title string, url string, category string, relativePath string, updatedAt string, publishedAt string, sync {sync}"
+    at = "2025-03-05T20:00:00.000Z"
+    dates = {
+        "a": ("wechat", "2025-01-02T23:30:00Z", "2025-01-02", "published"), "b": ("zsxq", "2025年1月3日 07:15", "2025-01-03", "published"),
+        "c": ("nowcoder", None, "2025-03-05", "collected"), "d": ("github", "n/a", "2025-03-05", "collected"), "e": ("wechat", "1735862400", "2025-01-03", "published"),
+        "f": ("github", "1735862400", "2025-01-03", "published"), "g": ("wechat", "", "2025-03-05", "collected"), "h": ("wechat", "2025/2/30", "2025-03-05", "collected"),
+    }
+    rows = [(i, s, "t", "u", "c", "p", at, p, None) for i, (s, p, _, _) in dates.items()]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "catalog.parquet"))
+    got = {r.id: (r.folder, r.date_source) for r in engine.queries()["inbox_paths"](spark, str(tmp_path)).collect()}
+    assert got == {i: (f"{s}/{day}-{i}", kind) for i, (s, _, day, kind) in dates.items()}
+
+
+def test_bare_domains_and_controls(spark):
+    from tidemill.functions import text, urls
+
+    texts = ["see a.com,b.cn and x@c.com, https://d.com/e.net", "foo.community foo.com.community a.com-b q.com.cn.", "A.Example.TOP", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(urls.bare_domains(F.col("t")).alias("d")).collect()
+    assert [r.d for r in rows] == [["a.com", "b.cn"], ["foo.com", "q.com.cn"], ["a.example.top"], None]
+    lines = ["a\n展开全文\n收起\nb", " 全文\r\na\r\n展开全部 \r", "全文看\n\n\n\nx", ""]
+    got = spark.createDataFrame([(t,) for t in lines], "t string").select(text.strip_controls(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == ["a\n\n\nb".replace("\n\n\n", "\n\n"), "a", "全文看\n\nx", ""]

@@ -25,8 +25,8 @@ def clean_text(c: Column) -> Column:
 
 def strip_controls(c: Column) -> Column:
     """Without lines that only hold a control's label, and at most one empty line between paragraphs."""
-    body = F.regexp_replace(c, rf"(^|\n)\s*(?:{'|'.join(CONTROLS)})[^\S\n]*(?=\n|$)", "$1")
-    return F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    body = F.regexp_replace(c, rf"(^|\n)\s*(?:{'|'.join(CONTROLS)})[^\S\n]*(?=\n|\z)", "$1")
+    return F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
 
 
 def title_of(c: Column, most: int = 48, least_cut: int = 16) -> Column:

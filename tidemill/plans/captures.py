@@ -187,13 +187,18 @@ def titles_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("seq", "title", text.title_of(text.strip_controls(F.col("text"))).alias("derived_title"))
 
 
-@query("controls_removed", r"""
-SELECT seq, length(text) - length(b) AS removed FROM (
-  SELECT seq, text, regexp_replace(regexp_replace(regexp_replace(text, '(^|\n)\s*(?:展开全部|展开全文|收起|阅读全文|显示全部|全文)[\t\v\f\r ]*(\n|$)', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS b
-  FROM collected_documents WHERE regexp_matches(text, '(^|\n)(展开全部|展开全文|收起|阅读全文|显示全部|全文)(\n|$)') AND NOT contains(text, chr(13)))""")
+_LABELS = "|".join(text.CONTROLS)
+
+
+@query("controls_removed", rf"""
+-- a newline is written as the two characters 1 (end of a line) and 2 (start of a line), as DuckDB's patterns can't look ahead
+SELECT seq, length(text) - length(regexp_replace(regexp_replace(replace(regexp_replace(replace(text, chr(10), chr(1) || chr(2)),
+    '(^|\x02)[\t\v\f\r \x01\x02]*(?:{_LABELS})[\t\v\f\r ]*(\x01|$)', '\1\2', 'g'), chr(1) || chr(2), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'),
+    '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g')) AS removed
+FROM collected_documents WHERE regexp_matches(text, '(^|\n)[\t\n\v\f\r ]*(?:{_LABELS})[\t\v\f\r ]*(\n|$)')""")
 def controls_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters that leave with whole-line control labels."""
-    rows = _docs(spark, sf_dir).where(F.col("text").rlike(rf"(^|\n)\s*(?:{'|'.join(text.CONTROLS)})[^\S\n]*(\n|$)"))
+    rows = _docs(spark, sf_dir).where(F.col("text").rlike(rf"(^|\n)\s*(?:{_LABELS})[^\S\n]*(\n|\z)"))
     return rows.select("seq", (F.length("text") - F.length(text.strip_controls(F.col("text")))).alias("removed"))
 
 
@@ -333,8 +338,10 @@ def discovered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("named_domains", r"""
-WITH d AS (SELECT seq, unnest(regexp_extract_all(lower(text), '(?:^|[^a-z0-9@./-])((?:[a-z0-9-]+[.])+(?:com[.]cn|com|cn|net|top|xyz))', 1)) AS domain FROM collected_documents WHERE NOT regexp_matches(lower(text), '[.](com|cn|net|top|xyz)[a-z0-9-]'))
-SELECT domain, count(DISTINCT seq) AS documents FROM d WHERE NOT (domain = 'github.com' OR domain LIKE '%.github.com') GROUP BY domain""")
+-- a domain begins where a run of such characters begins, so each run is cut out first and then matched from its start
+WITH t AS (SELECT seq, unnest(regexp_extract_all(lower(text), '(?:^|[^a-z0-9@./-])([a-z0-9-][a-z0-9.-]*)', 1)) AS run FROM collected_documents),
+d AS (SELECT seq, regexp_extract(run, '^((?:[a-z0-9-]+[.])+(?:com[.]cn|com|cn|net|top|xyz))(?:[^a-z0-9-]|$)', 1) AS domain FROM t)
+SELECT domain, count(DISTINCT seq) AS documents FROM d WHERE domain <> '' AND NOT (domain = 'github.com' OR domain LIKE '%.github.com') GROUP BY domain""")
 def named_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains written out bare in texts, apart from trusted ones."""
     each = _docs(spark, sf_dir).select("seq", F.explode(urls.bare_domains(F.col("text"), trusted=("github.com",))).alias("domain"))

@@ -87,9 +87,8 @@ def due_requesters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     ended = F.col("event").isin("failed", "saved")
     state = e.groupBy(F.col("requested_by").alias("source")).agg(F.max("ts").alias("last_attempt"), F.max(F.when(ended, F.struct("seq", "error_code"))).alias("e"))
-    now = e.agg(F.max("ts")).head()[0]
     state = state.select("source", "last_attempt", F.col("e.error_code").alias("last_error"))
-    return jobs.due(state, F.lit(now), F.lit(86_400), 3_600).select("source", "last_attempt", "next_due", "is_due")
+    return jobs.due(state, e.agg(F.max("ts")).scalar(), F.lit(86_400), 3_600).select("source", "last_attempt", "next_due", "is_due")
 
 
 @query("jobs_matched_to_captures", """
@@ -121,14 +120,14 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "candidate_entries").select(*cols).unionByName(table(spark, sf_dir, "candidate_batches").select(*cols))
 
 
-_ENTRIES_SQL = """v AS (
-  SELECT seq, id, CASE WHEN u THEN lower(contentHash) END AS ch, CASE WHEN u AND regexp_matches(lower(simHash), '^[0-9a-f]{16}$') THEN ('0x' || lower(simHash))::UBIGINT END AS fp,
+_ENTRIES_SQL = f"""v AS (
+  SELECT seq, id, CASE WHEN u THEN lower(contentHash) END AS ch, CASE WHEN u AND regexp_matches(lower(simHash), '^[0-9a-f]{{16}}$') THEN ('0x' || lower(simHash))::UBIGINT END AS fp,
     lead(seq) OVER (PARTITION BY id ORDER BY seq) AS until, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM (
     SELECT seq, id, contentHash, simHash, coalesce(lower(contentHash) <> 'e3b0c44298fc1c14', true) AS u FROM (
       SELECT seq, id, contentHash, simHash FROM candidate_entries UNION ALL SELECT seq, id, contentHash, simHash FROM candidate_batches))),
 e AS (SELECT * FROM v WHERE n = 1),
 x AS (SELECT a.id, min(b.id) AS parent FROM e a JOIN v b ON a.ch = b.ch AND b.seq < a.seq AND (b.until IS NULL OR a.seq < b.until) AND a.id <> b.id GROUP BY a.id),
-n AS (SELECT a.id, min({'d': bit_count(xor(a.fp, b.fp))::INT, 'id': b.id}) AS m FROM e a JOIN v b ON b.seq < a.seq AND (b.until IS NULL OR a.seq < b.until) AND a.id <> b.id AND bit_count(xor(a.fp, b.fp)) <= 3
+n AS (SELECT a.id, min({{'d': bit_count(xor(a.fp, b.fp))::INT, 'id': b.id}}) AS m FROM e a JOIN v b ON b.seq < a.seq AND (b.until IS NULL OR a.seq < b.until) AND a.id <> b.id AND bit_count(xor(a.fp, b.fp)) <= {NEAR}
   WHERE a.id NOT IN (SELECT id FROM x) GROUP BY a.id),
 p AS (SELECT id, parent, 'exact' AS kind, 0 AS distance FROM x UNION ALL SELECT id, m.id, 'near', m.d FROM n)"""
 

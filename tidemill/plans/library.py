@@ -200,9 +200,7 @@ def first_new_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.orderBy("o").limit(12).select("id", "o.seq")
 
 
-@query("inbox_paths", rf"""
-WITH {_LATEST_SQL} SELECT id, source || '/' || substring(coalesce(publishedAt, updatedAt), 1, 10) || '-' || id AS folder, CASE WHEN publishedAt IS NULL THEN 'collected' ELSE 'published' END AS date_source
-FROM latest WHERE publishedAt IS NULL OR regexp_matches(publishedAt, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T')""")
+@query("inbox_paths")
 def inbox_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folder of each entry in a repository's inbox, by publication or else collection date.
 

@@ -155,7 +155,7 @@ def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("embedding_centroids", """
-SELECT label, i AS dim, round(avg(v), 5) AS mean FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) WHERE i < 4 GROUP BY ALL""")
+SELECT label, i AS dim, round(avg(v), 5) AS mean FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL""")
 def embedding_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
     return e.groupBy("label", "dim").agg(F.round(F.avg(F.col("v").cast("double")), 5).alias("mean"))
