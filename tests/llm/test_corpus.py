@@ -1,7 +1,7 @@
 import random
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import batchdedup, leakage, mixing, quality, truncation
 
@@ -88,22 +88,91 @@ def test_duplicates_without_rows(spark):
     assert [tuple(x) for x in batchdedup.duplicates(h, one).collect()] == [(2, "a")]
 
 
-def test_segments_merge_logarithmically():
-    s, rng = batchdedup.Segments(), np.random.default_rng(1)
-    every = rng.integers(0, 2**63, 1000, dtype=np.uint64)
-    for part in np.array_split(every, 100):
-        s.add(batchdedup.Segment(part, part))
-    assert len(s.held) <= 10 and sum(map(len, s.held)) == 1000
-    got = {(int(w), int(o)) for which, other in s.matches(every[:50]) for w, o in zip(which, other, strict=True)}
-    assert got == {(i, int(o)) for i in range(50) for o in every if int(o) >> 48 == int(every[i]) >> 48}
-
-
-def test_hot_prefix_is_walked_in_pieces(monkeypatch):
-    monkeypatch.setattr(batchdedup, "HELD", 7)
-    every = np.arange(50, dtype=np.uint64) + np.uint64(5 << 48)
-    s = batchdedup.Segment(every, every)
-    got = [(int(w), int(o)) for which, other in s.matches(every[:5]) for w, o in zip(which, other, strict=True)]
-    assert len(got) == len(set(got)) == 250
+def rows_of(spark, rows):
+    return batchdedup.entries(spark.createDataFrame(rows, BATCH))
+
+
+def sized(r, first, n, near=()):
+    return [(first + k, 1, f"i{first + k}", None, f"{(near[k % len(near)] ^ (1 << r.randrange(64))) if near and k % 4 == 0 else r.getrandbits(64):016x}", None) for k in range(n)]
+
+
+def test_batch_by_batch_equals_backlog(spark):
+    r = random.Random(11)
+    base = [r.getrandbits(64) for _ in range(6)]
+    history = [(s, f"h{s}", "x", f"c{s % 30}", f"{r.choice(base) ^ (1 << r.randrange(64)):016x}", None, "b") for s in range(1, 80)]
+    batches = [(s, (s - 80) // 25 + 1 if s < 170 else None, r.choice([f"n{s}", f"h{s % 90}"]), r.choice([None, f"c{r.randrange(60)}"]), f"{r.choice(base) ^ (5 << r.randrange(60)):016x}", "p") for s in range(80, 180)]
+    h, b = spark.createDataFrame(history, HISTORY), spark.createDataFrame(batches, BATCH)
+    one, all_ = batchdedup.duplicates(h, b, one_by_one=True), batchdedup.duplicates(h, b)
+    want = by_hand(history, [(s, n or 99, *x) for s, n, *x in batches])
+    assert {x.seq: x.duplicate_of for x in one.collect()} == {x.seq: x.duplicate_of for x in all_.collect()} == want
+
+
+def test_index_reads_follow_the_batch_and_segments_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batchdedup, "ROW_GROUP", 1 << 15)
+    read = {}
+    for size in (6_000, 60_000):
+        r = random.Random(size)
+        index = batchdedup.SegmentIndex(spark, str(tmp_path / str(size)))
+        index.ingest(rows_of(spark, sized(r, 1, size)), 0, accepted=True)
+        index.ingest(rows_of(spark, sized(r, size + 1, 2)), 1)
+        read[size] = index.bytes_read()
+        assert [s["rows"] for s in index.manifest()["segments"]] == [size, 2]
+    assert read[60_000] < 2 * read[6_000]  # the footers grow, what is read of the segments doesn't
+    names = index.manifest()["segments"]
+    for k in range(2, 5):
+        index.ingest(rows_of(spark, sized(r, 60_000 + 100 * k, 2)), k)
+    index.compact()
+    held = [s["rows"] for s in index.manifest()["segments"]]
+    assert held[0] == 60_000 and sum(held) == 60_000 + 8 and len(held) <= 3 and index.manifest()["segments"][0] == names[0]
+    assert index.vacuum() and not index.vacuum()
+
+
+def test_killed_between_write_and_manifest(spark, tmp_path, monkeypatch):
+    r = random.Random(12)
+    base = [r.getrandbits(64) for _ in range(5)]
+    parts = [sized(r, 1 + 40 * k, 40, base) for k in range(3)]
+    whole, torn = batchdedup.SegmentIndex(spark, str(tmp_path / "a")), batchdedup.SegmentIndex(spark, str(tmp_path / "b"))
+    for k, part in enumerate(parts):
+        whole.ingest(rows_of(spark, part), k)
+    commit = batchdedup.SegmentIndex._commit
+
+    def die(self, manifest):
+        raise OSError("killed")
+
+    for k, part in enumerate(parts):
+        monkeypatch.setattr(batchdedup.SegmentIndex, "_commit", die)
+        with pytest.raises(OSError):
+            torn.ingest(rows_of(spark, part), k)
+        monkeypatch.setattr(batchdedup.SegmentIndex, "_commit", commit)
+        assert torn.ingest(rows_of(spark, part), k) and not torn.ingest(rows_of(spark, part), k)
+    got = [sorted(map(tuple, i.results(*range(3)).collect())) for i in (whole, torn)]
+    assert got[0] == got[1] and got[0] and torn.vacuum()
+    assert sorted(map(tuple, torn.results(*range(3)).collect())) == got[0]
+
+
+def test_words_meet_within_three_bits(spark):
+    r = random.Random(13)
+    pairs = []
+    for _ in range(300):
+        a = r.getrandbits(64)
+        b = a
+        for i in r.sample(range(64), 3):
+            b ^= 1 << i
+        pairs.append((a - (1 << 64 if a >> 63 else 0), b - (1 << 64 if b >> 63 else 0)))
+    df = spark.createDataFrame(pairs, "a long, b long")
+    rows = df.select(F.size(F.array_intersect(batchdedup.words(F.col("a"), 3), batchdedup.words(F.col("b"), 3))).alias("n")).collect()
+    assert all(x.n >= 1 for x in rows)
+
+
+def test_hot_word_is_walked_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batchdedup, "HELD", 5)
+    monkeypatch.setattr(batchdedup, "TASK_ROWS", 40)
+    fps = [(0xABCD << 40) ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)]
+    rows = [(k, 1, f"i{k}", None, f"{f:016x}", None) for k, f in enumerate(fps)]
+    index = batchdedup.SegmentIndex(spark, str(tmp_path / "i"))
+    index.ingest(rows_of(spark, rows), 0)
+    got = {x.seq: x.duplicate_of for x in index.results(0).collect()}
+    assert got == by_hand([], rows)
 
 
 def test_shares_and_repeats(spark):
