@@ -3,6 +3,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import neardup, sitelines, truncation
 
@@ -124,12 +125,33 @@ def test_site_lines_equal_brute_force(spark):
         assert cleaned[k] == want
 
 
-def test_many_marked_lines_are_joined(spark, monkeypatch):
+def test_marks_without_broadcast(spark):
     rows = site_rows()
     df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], DOC)
-    lines = sitelines.site_lines(df)
-    monkeypatch.setattr(sitelines, "HELD", 0)
-    assert {tuple(r) for r in sitelines.marked_lines(df, lines).collect()} == brute_lines(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {tuple(r) for r in sitelines.marked_lines(df, sitelines.site_lines(df)).collect()} == brute_lines(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_ratio_chooses_the_lines(spark, monkeypatch):
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in site_rows()], DOC)
+    tests = sitelines.line_tests(df)
+    limit = sitelines.discovery_cut(tests, 0.01)
+    below = tests.where((F.col("strength") < limit) & (F.col("k") >= 2)).count()
+    assert below and 1 < limit < 20  # lines repeated by chance are turned down
+    monkeypatch.setattr(sitelines, "log_likelihood_ratio", lambda k1, n1, k2, n2: F.lit(0.0))
+    assert sitelines.site_lines(df).count() == 0
+
+
+def test_the_outside_is_made_of_sources_that_do_not_repeat_the_line(spark):
+    rows = [(i, "a", None, f"独有的一行文字甲{i}" + ("\n共有的一行文字" if i % 40 == 0 else "") + ("\n各处的一行文字" if i % 40 == 1 else "")) for i in range(400)]
+    rows += [(1000 + i, "b", None, f"别处的一行文字乙{i}" + ("\n共有的一行文字" if i % 100 == 0 else "") + ("\n各处的一行文字" if i % 70 == 1 else "")) for i in range(700)]
+    rows += [(2000 + i, "c", None, f"远处的一行文字丙{i}") for i in range(500)]
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], DOC)
+    got = {(r["k"], r["n1"], r["k2"], r["n2"]) for r in sitelines.line_tests(df).where("k < 400").collect()}
+    assert got == {(10, 400, 7, 1200), (7, 700, 0, 500), (10, 400, 0, 500), (10, 700, 0, 500)}
 
 
 def test_no_lines(spark):

@@ -1,14 +1,14 @@
 """Lines that belong to the site or the account instead of the piece.
 
 Lines are compared by the letters left after NFKC and lower case. For each source (and each account
-with enough rows) the number of rows that hold a line is set against its frequency in all other rows
-by a log-likelihood ratio; a line found everywhere is set against the mean line as well. The p values
-are controlled for false discovery (Benjamini-Hochberg over a fixed histogram of -log10 p, so no global
-sort is needed). Significant lines that also reach the stated shares are the site's lines; texts without
-them are put together again by position.
-
-Counts are summed inside each Arrow batch first, then per (line, source, account) after one exchange on
-the line key. Defined results: null texts have no lines; null sources are a source of their own; null
+with enough rows) the number of rows that hold a line is set against its frequency outside
+by a log-likelihood ratio (see :func:`line_tests` for what counts as outside). All lines repeated in a source
+are tested, and the p values are controlled for false discovery (Benjamini-Hochberg over a fixed histogram of
+-log10 p, so no global sort is needed). Significant lines that also reach the stated shares are the site's
+lines; they are taken out of each text by position, and only positions are exchanged for that.
+
+Counts are summed inside each Arrow batch first, then by (line, source, account), (line, source) and line, each
+with partial sums before the exchange, so no popular line is gathered in one task. Defined results: null texts have no lines; null sources are a source of their own; null
 authors are in no account; empty tables give no rows; repeated rows count as often as they occur;
 only the named columns are read.
 """
@@ -23,14 +23,15 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import codepoints as C
 from tidemill.session import cut
 
 MIN_LETTERS, MAX_CHARS = 4, 160
-HELD = 200_000  # most marked lines that are sent to the workers; beyond that they are joined
+LEAST = 3.0  # -log10 p that a line absent outside must reach there, else the outside is too small to speak
+MANY = 1_000_000  # rows with a line in the stand-in for the outside, so that its rate counts as known
 _U = np.uint64
 
 
@@ -93,8 +94,8 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield b.iloc[low:high].reset_index(drop=True)
 
 
-def line_counts(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``(key, source, account, rows, in_source, overall)`` of lines in at least ``min_rows`` rows of a source."""
+def line_counts(docs: DataFrame) -> DataFrame:
+    """``(key, source, account, rows)``: in how many rows of an account each line stands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _pieces(batches):
@@ -106,15 +107,8 @@ def line_counts(docs: DataFrame, rule: Rule) -> DataFrame:
             part = pd.DataFrame({"key": rows["key"].to_numpy(), "source": source[o], "account": who[o]})
             yield part.groupby(["key", "source", "account"], as_index=False, sort=False).size().rename(columns={"size": "n"})
 
-    parts = _slim(docs).mapInPandas(run, "key bigint, source bigint, account bigint, n bigint").repartition("key")
-    summed = parts.groupBy("key", "source", "account").agg(F.sum("n").alias("rows"))
-    by_source, by_key = Window.partitionBy("key", "source"), Window.partitionBy("key")
-    # no window is sorted by anything but its keys, and one exchange on the line key serves all three
-    return (
-        summed.withColumn("in_source", F.sum("rows").over(by_source))
-        .withColumn("overall", F.sum("rows").over(by_key))
-        .where(F.col("in_source") >= rule.min_rows)
-    )
+    parts = _slim(docs).mapInPandas(run, "key bigint, source bigint, account bigint, n bigint")
+    return parts.groupBy("key", "source", "account").agg(F.sum("n").alias("rows"))
 
 
 def row_counts(docs: DataFrame) -> DataFrame:
@@ -145,12 +139,6 @@ def log_likelihood_ratio(k1, n1, k2, n2):
     return F.when((n2 == 0) | (k1 * n2 > k2 * n1), F.greatest(g, F.lit(0.0))).otherwise(0.0)
 
 
-def _excess_over_mean(k, n, rate: float):
-    """G2 of k rows in n against the rate of a mean line."""
-    k, e = k.cast("double"), n.cast("double") * F.lit(rate)
-    return F.when(k > e, 2.0 * (k * F.log(k / e) - (k - e))).otherwise(0.0)
-
-
 def _log10_p(g):
     """-log10 of the upper tail of chi square with one degree of freedom (Gaussian tail bound, exact to 1 % from g = 4)."""
     z = F.sqrt(g)
@@ -174,73 +162,82 @@ def discovery_cut(tests: DataFrame, rate: float, bins: int = 400, per_unit: int
     return best
 
 
-def site_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """Marked lines ``(source, account, key)``; account 0 means the whole source."""
-    counts = cut(line_counts(docs, rule))
+def line_tests(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """``(source, account, key, k, n1, k2, n2, strength, shared)`` of every line that is repeated in a source.
+
+    The outside of a source is made of the sources in which the line isn't repeated itself (fewer than ``min_rows``
+    rows), so that lines shared by several sites don't hide each other; for an account the rest of its source
+    belongs to it on the same condition. Where the outside is so small that even a line absent from it couldn't
+    be told from chance (strength below ``LEAST``), a line of one row in each ``n1`` rows stands for the outside.
+    """
+    counts = cut(line_counts(docs))
     sizes = cut(row_counts(docs))
     n = sizes.agg(F.sum("account_rows")).head()[0] or 0
     per_source = sizes.groupBy("source").agg(F.sum("account_rows").alias("source_rows"))
-    mean = 1.0 / max(n, 1)  # the mean line stands in about one row
-    source = (
-        counts.groupBy("key", "source").agg(F.max("in_source").alias("k"), F.max("overall").alias("overall"))
-        .join(F.broadcast(per_source) if per_source.count() <= HELD else per_source, "source")
-        .select("source", F.lit(0).cast("bigint").alias("account"), "key", "k", F.col("source_rows").alias("n1"), "overall",
-                (F.col("k") >= F.lit(rule.source_share) * F.col("source_rows")).alias("shared"))
+    in_source = counts.groupBy("key", "source").agg(F.sum("rows").alias("in_source")).join(per_source, "source")
+    repeated = F.col("in_source") >= rule.min_rows
+    outside = in_source.groupBy("key").agg(
+        F.sum(F.when(~repeated, F.col("in_source")).otherwise(0)).alias("k_clean"), F.sum(F.when(repeated, F.col("source_rows")).otherwise(0)).alias("n_unclean"),
+        F.max("in_source").alias("most"),
+    )
+    placed = cut(in_source.where("in_source >= 2").join(outside.where("most >= 2"), "key"))
+    own = ~repeated  # a source below the least number of rows is part of what is clean
+    source = placed.select(
+        "source", F.lit(0).cast("bigint").alias("account"), "key", F.col("in_source").alias("k"), F.col("source_rows").alias("n1"),
+        (F.col("k_clean") - F.when(own, F.col("in_source")).otherwise(0)).alias("k2"),
+        (F.lit(n) - F.col("n_unclean") - F.when(own, F.col("source_rows")).otherwise(0)).alias("n2"),
+        (repeated & (F.col("in_source") >= F.lit(rule.source_share) * F.col("source_rows"))).alias("shared"),
     )
-    accounts = (
+    of_account = (
         counts.where((F.col("account") != 0) & (F.col("rows") >= F.lit(rule.account_share * rule.account_rows)))
-        .join(sizes.where(F.col("account_rows") >= rule.account_rows), ["source", "account"])
-        .select("source", "account", "key", F.col("rows").alias("k"), F.col("account_rows").alias("n1"), "overall",
-                (F.col("rows") >= F.lit(rule.account_share) * F.col("account_rows")).alias("shared"))
+        .join(sizes.where(F.col("account_rows") >= rule.account_rows), ["source", "account"]).join(placed, ["key", "source"])
     )
-    against = log_likelihood_ratio(F.col("k"), F.col("n1"), F.col("overall") - F.col("k"), F.lit(n) - F.col("n1"))
-    tests = source.unionAll(accounts).withColumn("g", F.greatest(against, _excess_over_mean(F.col("k"), F.col("n1"), mean)))
-    tests = cut(tests.withColumn("strength", _log10_p(F.col("g"))))
-    limit = discovery_cut(tests, rule.discovery_rate)
-    return cut(tests.where((F.col("strength") >= F.lit(limit)) & F.col("shared")).select("source", "account", "key"))
+    rest = F.col("in_source") - F.col("rows")
+    fit = rest < rule.min_rows
+    base_k = F.col("k_clean") - F.when(own, F.col("in_source")).otherwise(0)
+    base_n = F.lit(n) - F.col("n_unclean") - F.when(own, F.col("source_rows")).otherwise(0)
+    accounts = of_account.select(
+        "source", "account", "key", F.col("rows").alias("k"), F.col("account_rows").alias("n1"),
+        (base_k + F.when(fit, rest).otherwise(0)).alias("k2"), (base_n + F.when(fit, F.col("source_rows") - F.col("account_rows")).otherwise(0)).alias("n2"),
+        (F.col("rows") >= F.lit(rule.account_share) * F.col("account_rows")).alias("shared"),
+    )
+    tests = source.unionAll(accounts)
+    k, n1, none = F.col("k"), F.col("n1"), F.lit(0)
+    speaks = _log10_p(log_likelihood_ratio(k, n1, none, F.col("n2"))) >= LEAST
+    g = F.when(speaks, log_likelihood_ratio(k, n1, F.col("k2"), F.col("n2"))).otherwise(log_likelihood_ratio(k, n1, F.lit(MANY), F.lit(MANY) * n1))
+    return tests.withColumn("strength", _log10_p(g))
 
 
-def _marks(key: np.ndarray, source: np.ndarray, who: np.ndarray) -> np.ndarray:
-    """One code for (key, source, account)."""
-    return C.mix(key.view(np.uint64) + C.mix(source.view(np.uint64)) + C.mix(who.view(np.uint64) ^ _U(0x5BD1E995))).view(np.int64)
+def site_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """Marked lines ``(source, account, key)``; account 0 means the whole source.
+
+    The ratio chooses under discovery control; of the chosen lines those stay that have the stated shares.
+    """
+    tests = cut(line_tests(docs, rule))
+    limit = discovery_cut(tests, rule.discovery_rate)
+    return cut(tests.where((F.col("strength") > 0) & (F.col("strength") >= F.lit(limit)) & F.col("shared")).select("source", "account", "key"))
 
 
 def marked_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``(seq, line_no)`` of every line that is marked for its source or account.
 
-    Marked lines are few by their definition (each fills a stated share of its source), and are sent to
-    the workers as sorted codes when at most ``HELD``; a larger set is joined instead.
+    All lines are joined with the marks of their source and of their account; Spark broadcasts the marks if they are small enough.
     """
-    number = lines.count()
-    held = None
-    if number <= HELD:
-        rows = lines.toPandas()
-        codes = np.sort(_marks(*(rows[c].to_numpy(np.int64) for c in ("key", "source", "account"))))
-        held = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _pieces(batches):
             _, owner, key, counts = line_table(b["text"].tolist())
             source = _codes(b["source"], code)
             who = _codes(b["author"], lambda a: code(account(a), 1) if a is not None else 0)
-            first = np.searchsorted(owner, owner)
-            no = np.arange(len(owner)) - first + 1
+            no = np.arange(len(owner)) - np.searchsorted(owner, owner) + 1
             o, k, no = owner[counts], key[counts], no[counts]
-            seq = b["seq"].to_numpy()[o]
-            if held is None:
-                yield pd.DataFrame({"seq": seq, "line_no": no, "key": k, "source": source[o], "account": who[o]})
-                continue
-            codes = held.value
-            hit = np.isin(_marks(k, source[o], np.zeros(len(o), np.int64)), codes)
-            hit |= (who[o] != 0) & np.isin(_marks(k, source[o], who[o]), codes)
-            yield pd.DataFrame({"seq": seq[hit], "line_no": no[hit]})
-
-    if held is not None:
-        return _slim(docs).mapInPandas(run, "seq bigint, line_no int")
+            yield pd.DataFrame({"seq": b["seq"].to_numpy()[o], "line_no": no, "key": k, "source": source[o], "account": who[o]})
+
     each = _slim(docs).mapInPandas(run, "seq bigint, line_no int, key bigint, source bigint, account bigint")
-    of_source = each.withColumn("account", F.lit(0).cast("bigint")).join(lines, ["key", "source", "account"], "left_semi")
-    of_account = each.where("account <> 0").join(lines, ["key", "source", "account"], "left_semi")
-    return of_source.select("seq", "line_no").union(of_account.select("seq", "line_no")).distinct()
+    of_source = lines.where("account = 0").select("key", "source", F.lit(True).alias("by_source"))
+    of_account = lines.where("account <> 0").select("key", "source", "account", F.lit(True).alias("by_account"))
+    hit = each.join(of_source, ["key", "source"], "left").join(of_account, ["key", "source", "account"], "left")
+    return hit.where("by_source or by_account").select("seq", "line_no")
 
 
 def without_lines(docs: DataFrame, marked: DataFrame) -> DataFrame:
