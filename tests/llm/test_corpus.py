@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,11 +242,21 @@ def test_forms(spark):
     assert quality.profiled(d.where("false"), words).count() == 0
 
 
+def test_the_distance_decides_the_form():
+    k = len(quality.STATS)
+    x, centre, parts = np.zeros((5, k)), np.zeros(k), np.zeros((5, k))
+    at = quality.STATS.index
+    for row, (s, v, c) in enumerate((("entry_lines", 1.0, 60), ("entry_lines", 1.0, 20), ("entry_lines", 0.7, 60), ("log_line_width", 1.0, 900), ("common_words", -0.3, 60))):
+        x[row, at(s)], parts[row, at(s)] = v, c
+    assert quality.form_of(x, centre, parts).tolist() == ["list", "prose", "prose", "prose", "junk"]
+    assert set(quality.form_of(x, centre, 0 * parts)) == {"prose"}  # the same lines, but no distance
+
+
 def test_statistics():
     import re
 
     s = dict(zip(quality.STATS, quality.statistics("The cat sat. 我的！\n- x", frozenset({"the"}), re.compile("的")), strict=False))
-    assert s["common_words"] == pytest.approx(2 / 6) and s["entry_lines"] == 0.5 and s["punctuated_lines"] == 0.5
+    assert s["common_words"] == pytest.approx((2 + 8 * 0.3) / (6 + 8)) and s["entry_lines"] == 0.5 and s["punctuated_lines"] == 0.5
 
 
 def test_repeated_words_and_unspaced_sentences(spark):

@@ -5,11 +5,14 @@ of common words and the shares behind the forms (entries, rows of cells, unreada
 runs, repeated sentences, repeated words). For each language (by script, as ``lang`` is often wrong) the mean and
 covariance of prose are fitted robustly over all documents: medians and absolute deviations choose a
 first core, whose moments are refitted on the documents near it. The squared Mahalanobis distance is the
-sum of one contribution per statistic. Documents beyond the cut are outliers; an outlier's form follows
-from its line shares. Moments are summed inside Arrow batches and then by Spark, so fitting takes a few
-hundred rows to the driver whatever the input.
-
-Defined results: null and blank texts are prose with zero statistics (there is nothing unreadable);
+sum of one contribution per statistic. Documents beyond the cut are outliers, all others are prose whatever
+their lines look like. An outlier gets the form that its contributions name: entry lines a list, rows of cells a
+table (both only with the four fifths of the definition), unreadable characters, machine runs, symbols,
+repetition and missing common words junk. An outlier by anything else (width, length, punctuation) stays prose.
+Moments are summed inside Arrow batches and then by Spark, so fitting takes a few hundred rows to the driver
+whatever the input.
+
+Defined results: null and blank texts are prose with zero statistics and distance (there is nothing unreadable);
 repeated rows are judged alike; empty tables give no rows; extra columns are not read.
 """
 
@@ -33,8 +36,10 @@ STATS = (
 #: Least spread of each statistic in prose; keeps constant ones from dividing by zero.
 SPREAD = np.array([0.3, 0.3, 0.03, 0.1, 0.05, 0.08, 0.05, 0.02, 0.03, 0.06, 0.3, 0.03, 0.06])
 WHOLE = 0.8  # share of lines that makes a list or a table
-COMMON_FLOOR, ODD, SYMBOLS, MACHINE, REPEATED, WORDY = 0.05, 0.12, 0.25, 0.5, 0.6, 0.55
 CUT = 27.7  # 0.99 quantile of chi square with 13 degrees of freedom
+NAMED = 49.0  # what the statistics of junk must contribute together: seven standard deviations
+BARE, ROWS = 3, 2  # lines from which short lines without a mark are entries, and commas or semicolons part cells; fewer are a remark or a statement
+PRIOR_WORDS, PRIOR_SHARE = 8, 0.3  # words of usual prose that every text counts as having beside its own: few words show no lack of common ones
 STRETCH, FEW, SHINGLE = 100, 20, 8  # words of a stretch, least words that can show repetition, words of a shingle
 
 _HAN = re.compile("[㐀-鿿豈-﫿]")
@@ -47,6 +52,8 @@ _NOTE = re.compile(r"[（(][^）)]{0,6}[）)]\s*$")
 _SENT = re.compile(r"[，。！？；：、]|[,.;:!?](?=\s|$)")
 _RULE = re.compile(r"[|│+├┼┤┌┬┐└┴┘─\-=: ]{5,}")
 _GAP = re.compile(r" {2,}")
+_TOKEN_TAG = re.compile(r"<\|[A-Za-z_]{1,24}\|>")
+_CELL = re.compile(r"[^\W_]")
 _PROSE_MARK = re.compile(r"[。，！？]|, ")
 _ODD = re.compile("[�\u0080-ÿ■-◿€œ‚„†‡ˆ‰Š‹ŒŽ™š›žŸ˜]|锟斤拷|烫烫|屯屯|[锟烫屯拷]")
 _SYMBOL = re.compile(r"[!-/:-@\[-`{-~]")
@@ -61,22 +68,26 @@ def _width(s: str) -> int:
     return len(s) + len(_HAN.findall(s))
 
 
-def is_entry(line: str) -> bool:
-    """A short list entry, marked or bare."""
+def is_entry(line: str, bare_too: bool = True) -> bool:
+    """A short list entry, marked or (in a text of several lines) bare."""
     line = _LINK.sub(r"\1", line.strip())
     m = _MARK.match(line)
+    if not m and not bare_too:
+        return False
     bare = _NOTE.sub("", line[m.end() :] if m else line).strip()
     if not bare:
         return bool(m)
     return len(bare) <= 44 and _width(bare) <= 44 and not _SENT.search(bare) and len(bare.split()) <= 6
 
 
-def is_row(line: str) -> bool:
-    """A row of cells: ruled, tabbed, aligned or delimited."""
-    s = line.strip()
+def is_row(line: str, delimited: bool = True) -> bool:
+    """A row of cells: ruled, tabbed, aligned or delimited. Markers of a tokenizer rule no cells, and a row holds letters or digits or is a rule."""
+    s = _TOKEN_TAG.sub("", line).strip()
+    if not _CELL.search(s):
+        return bool(_RULE.fullmatch(s))
     if s.count("|") >= 2 or s.count("│") >= 2 or "\t" in s or _RULE.fullmatch(s) or len(_GAP.split(s)) >= 3:
         return True
-    for d in ",;":
+    for d in ",;" if delimited else "":
         if s.count(d) >= 2 and max(map(_width, s.split(d))) <= 26 and not _PROSE_MARK.search(s):
             return True
     return False
@@ -116,8 +127,8 @@ def statistics(text: str, english: frozenset[str], chinese: re.Pattern[str]) ->
     repeated = 1 - len(set(sentences)) / len(sentences) if len(sentences) >= 4 else 0.0
     return [
         math.log1p(words), (sum(map(len, latin)) + han) / max(1, words), len(_SYMBOL.findall(visible)) / n,
-        sum(bool(_END.search(x)) for x in lines) / len(lines), common / max(1, words), sum(map(is_entry, lines)) / len(lines),
-        sum(map(is_row, lines)) / len(lines), sum(map(len, _ODD.findall(visible))) / n, sum(map(len, _RUN.findall(text))) / n, repeated,
+        sum(bool(_END.search(x)) for x in lines) / len(lines), (common + PRIOR_WORDS * PRIOR_SHARE) / (words + PRIOR_WORDS), sum(is_entry(x, len(lines) >= BARE) for x in lines) / len(lines),
+        sum(is_row(x, len(lines) >= ROWS) for x in lines) / len(lines), sum(map(len, _ODD.findall(visible))) / n, sum(map(len, _RUN.findall(text))) / n, repeated,
         math.log1p(n / len(lines)), sum(map(str.isdigit, visible)) / n, repeated_words(text),
         words, len(lines), n, float(han > 0.3 * (han + sum(map(len, latin)))),
     ]
@@ -195,16 +206,24 @@ def prose_fit(measured: DataFrame) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
     return fit
 
 
-def form_of(x: np.ndarray, lines: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Form of outlying documents from their statistics."""
-    g = dict(zip(STATS, x.T, strict=True))
-    table = (g["cell_lines"] >= WHOLE) & (lines >= 2)
-    entries = (g["entry_lines"] >= WHOLE) & (lines >= 3)
-    unreadable = (g["odd_chars"] >= ODD) | (g["machine_runs"] >= MACHINE)
-    symbols = (g["symbol_ratio"] >= SYMBOLS) & ((g["symbol_ratio"] >= WHOLE) | ~(table | entries))
-    loop = ((g["repeated_sentences"] >= REPEATED) | (g["repeated_words"] >= WORDY)) & ~table & ~entries
-    wordless = (g["common_words"] < COMMON_FLOOR) & (chars >= 30) & ~table & ~entries
-    return np.select([unreadable | symbols | loop, table, entries, wordless], ["junk", "table", "list", "junk"], "prose")
+#: Statistics whose excess (for common words: lack) is evidence of a form.
+EVIDENCE = {
+    "list": ("entry_lines",), "table": ("cell_lines",),
+    "junk": ("odd_chars", "machine_runs", "symbol_ratio", "repeated_sentences", "repeated_words", "digit_ratio", "common_words"),
+}
+
+
+def form_of(x: np.ndarray, centre: np.ndarray, contributions: np.ndarray) -> np.ndarray:
+    """Form of documents from what each statistic contributes to their distance from prose (``centre``)."""
+    side = np.sign(x - centre)
+    side[:, STATS.index("common_words")] *= -1
+    towards = np.where(side > 0, contributions, 0.0)
+    g = {form: towards[:, [STATS.index(s) for s in names]].sum(axis=1) for form, names in EVIDENCE.items()}
+    unreadable = towards[:, [STATS.index("odd_chars"), STATS.index("machine_runs")]].sum(axis=1) > np.maximum(np.maximum(g["list"], g["table"]), CUT)
+    table = (g["table"] > CUT) & (x[:, STATS.index("cell_lines")] >= WHOLE)
+    entries = (g["list"] > CUT) & (x[:, STATS.index("entry_lines")] >= WHOLE)
+    form = np.select([unreadable, table, entries, g["junk"] > NAMED], ["junk", "table", "list", "junk"], "prose")
+    return np.where(contributions.sum(axis=1) > CUT, form, "prose")
 
 
 def profiled(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,12 +237,13 @@ def profiled(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str =
                 continue
             x = np.stack(b["x"].to_list())
             zh = b["zh"].to_numpy(bool)
-            parts = np.zeros_like(x)
+            parts, centre = np.zeros_like(x), np.where(zh[:, None], fit[True][0], fit[False][0])
             for z in (False, True):
                 if (zh == z).any():
                     parts[zh == z] = _distances(x[zh == z], fit[z])
-            d2 = parts.sum(axis=1)
-            form = np.where(d2 > CUT, form_of(x, b["lines"].to_numpy(), b["chars"].to_numpy()), "prose")
+            blank = b["chars"].to_numpy() == 0
+            parts[blank] = 0.0
+            d2, form = parts.sum(axis=1), form_of(x, centre, parts)
             yield pd.DataFrame({
                 key: b["k"], "language": np.where(zh, "zh", "en"), "words": b["words"], "lines": b["lines"], "chars": b["chars"],
                 "x": list(x), "distance2": d2, "contributions": list(parts), "form": form,
