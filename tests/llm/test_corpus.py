@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -253,10 +254,29 @@ def test_the_distance_decides_the_form():
 
 
 def test_statistics():
-    import re
-
-    s = dict(zip(quality.STATS, quality.statistics("The cat sat. 我的！\n- x", frozenset({"the"}), re.compile("的")), strict=False))
+    m = quality.measures(["x", "The cat sat. 我的！\n- x", None, "锟斤拷 12"], quality.word_hashes(["the", "of"]), re.compile("的"))
+    s = dict(zip(quality.STATS, m[1], strict=False))
     assert s["common_words"] == pytest.approx((2 + 8 * 0.3) / (6 + 8)) and s["entry_lines"] == 0.5 and s["punctuated_lines"] == 0.5
+    assert m[1, -4:].tolist() == [6, 2, 15, 0] and not m[2].any() and m[3, 7] == 3 / 5 and m[3, 11] == 2 / 5
+
+
+def test_repeated_words_equal_a_plain_count():
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(["ab", "c", "甲", "乙丙", "丁戊己庚", "zz9q", "-"]) for _ in range(rng.randrange(0, 350))) for _ in range(40)] + ["", None, "甲"]
+
+    def plain(text):
+        words = []
+        for run in re.findall("[a-z]+|[㐀-鿿]+", (text or "").lower()):
+            words += [run] if run[0] < "㐀" or len(run) < 3 else [run[i : i + 2] for i in range(len(run) - 1)]
+        n, size = len(words), quality.STRETCH
+        parts = [words[i : i + size] for i in range(0, n - size + 1, size)] or [words]
+        parts += [words[-size:]] if n > size and n % size else []
+        near = (sum(map(len, parts)) - sum(len(set(p)) for p in parts)) / (sum(map(len, parts)) + quality.FEW)
+        shingles = [tuple(words[i : i + quality.SHINGLE]) for i in range(n - quality.SHINGLE + 1)]
+        return max(near, (len(shingles) - len(set(shingles))) / (len(shingles) + quality.FEW))
+
+    _, got = quality.word_counts(texts, quality.word_hashes([]))
+    assert got.tolist() == pytest.approx([plain(t) for t in texts])
 
 
 def test_repeated_words_and_unspaced_sentences(spark):

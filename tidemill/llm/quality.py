@@ -18,15 +18,17 @@ repeated rows are judged alike; empty tables give no rows; extra columns are not
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions import codepoints as C
 from tidemill.session import cut
 
 STATS = (
@@ -40,7 +42,7 @@ CUT = 27.7  # 0.99 quantile of chi square with 13 degrees of freedom
 NAMED = 49.0  # what the statistics of junk must contribute together: seven standard deviations
 BARE, ROWS = 3, 2  # lines from which short lines without a mark are entries, and commas or semicolons part cells; fewer are a remark or a statement
 PRIOR_WORDS, PRIOR_SHARE = 8, 0.3  # words of usual prose that every text counts as having beside its own: few words show no lack of common ones
-STRETCH, FEW, SHINGLE = 100, 20, 8  # words of a stretch, least words that can show repetition, words of a shingle
+STRETCH, FEW, SHINGLE = 100, 10, 8  # words of a stretch, words without repetition that every text counts as having, words of a shingle
 
 _HAN = re.compile("[㐀-鿿豈-﫿]")
 _WORD = re.compile("[A-Za-z]+")
@@ -55,13 +57,10 @@ _GAP = re.compile(r" {2,}")
 _TOKEN_TAG = re.compile(r"<\|[A-Za-z_]{1,24}\|>")
 _CELL = re.compile(r"[^\W_]")
 _PROSE_MARK = re.compile(r"[。，！？]|, ")
-_ODD = re.compile("[�\u0080-ÿ■-◿€œ‚„†‡ˆ‰Š‹ŒŽ™š›žŸ˜]|锟斤拷|烫烫|屯屯|[锟烫屯拷]")
-_SYMBOL = re.compile(r"[!-/:-@\[-`{-~]")
+_ODD = "[�\u0080-ÿ■-◿€œ‚„†‡ˆ‰Š‹ŒŽ™š›žŸ˜锟烫屯拷]"
 _RUN = re.compile(r"[A-Za-z0-9+/=]{30,}")
 _SPLIT = re.compile(r"[。！？!?\n]+|\.\s|(?<=[a-z0-9)\]\"'])\.(?=[A-Z㐀-鿿豈-﫿])")
-_TOKEN = re.compile("[a-z]+|[㐀-鿿豈-﫿]+")
 _END = re.compile(r"[。．.！!？?…：:；;」』”\"’')）]\s*$")
-_SPACE = re.compile(r"\s+")
 
 
 def _width(s: str) -> int:
@@ -77,7 +76,7 @@ def is_entry(line: str, bare_too: bool = True) -> bool:
     bare = _NOTE.sub("", line[m.end() :] if m else line).strip()
     if not bare:
         return bool(m)
-    return len(bare) <= 44 and _width(bare) <= 44 and not _SENT.search(bare) and len(bare.split()) <= 6
+    return bool(_CELL.search(bare)) and len(bare) <= 44 and _width(bare) <= 44 and not _SENT.search(bare) and len(bare.split()) <= 6
 
 
 def is_row(line: str, delimited: bool = True) -> bool:
@@ -93,59 +92,139 @@ def is_row(line: str, delimited: bool = True) -> bool:
     return False
 
 
-def repeated_words(text: str) -> float:
-    """Share of words (pairs of neighbours in Chinese) that repeat one of their stretch, or of shingles that repeat one of the text."""
-    words: list[str] = []
-    for run in _TOKEN.findall(text.lower()):
-        if run[0] < "㐀" or len(run) < 3:
-            words.append(run)
-        else:
-            words.extend(map(str.__add__, run, run[1:]))
-    n = len(words)
-    if n < FEW:
-        return 0.0
-    parts = [words[i : i + STRETCH] for i in range(0, n - STRETCH + 1, STRETCH)] or [words]
-    if n > STRETCH and n % STRETCH:
-        parts.append(words[-STRETCH:])
-    near = 1 - sum(len(set(p)) for p in parts) / sum(map(len, parts))
-    far = 1 - len(set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))) / (n - SHINGLE + 1)
-    return max(near, far)
-
-
-def statistics(text: str, english: frozenset[str], chinese: re.Pattern[str]) -> list[float]:
-    """[statistics in the order of STATS..., words, lines, visible characters, language is Chinese]."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    if not lines:
-        return [0.0] * len(STATS) + [0, 0, 0, 0]
-    visible = _SPACE.sub("", text)
-    n = max(1, len(visible))
-    latin = _WORD.findall(text)
-    han = len(_HAN.findall(text))
-    words = len(latin) + han
-    common = sum(w.lower() in english for w in latin) + sum(map(len, chinese.findall(text))) if words else 0
-    sentences = [s for s in map(str.strip, _SPLIT.split(text)) if s]
-    repeated = 1 - len(set(sentences)) / len(sentences) if len(sentences) >= 4 else 0.0
-    return [
-        math.log1p(words), (sum(map(len, latin)) + han) / max(1, words), len(_SYMBOL.findall(visible)) / n,
-        sum(bool(_END.search(x)) for x in lines) / len(lines), (common + PRIOR_WORDS * PRIOR_SHARE) / (words + PRIOR_WORDS), sum(is_entry(x, len(lines) >= BARE) for x in lines) / len(lines),
-        sum(is_row(x, len(lines) >= ROWS) for x in lines) / len(lines), sum(map(len, _ODD.findall(visible))) / n, sum(map(len, _RUN.findall(text))) / n, repeated,
-        math.log1p(n / len(lines)), sum(map(str.isdigit, visible)) / n, repeated_words(text),
-        words, len(lines), n, float(han > 0.3 * (han + sum(map(len, latin)))),
-    ]
+_SYMBOL, _BLANK, _ODDITY, _DIGIT, _LATIN, _HANZI = (1 << i for i in range(6))
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Classes of every code point as bits."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for bit, pattern in ((_SYMBOL, r"[!-/:-@\[-`{-~]"), (_ODDITY, _ODD), (_LATIN, "[A-Za-z]"), (_HANZI, _HAN.pattern)):
+        test = re.compile(pattern)
+        out[[i for i in range(0x10000) if test.match(chr(i))]] |= bit
+    every = [chr(i) for i in range(sys.maxunicode + 1)]
+    out[[i for i, c in enumerate(every) if c.isspace()]] |= _BLANK
+    out[[i for i, c in enumerate(every) if c.isdigit()]] |= _DIGIT
+    return out
+
+
+def word_hashes(words: Sequence[str]) -> np.ndarray:
+    cp, starts, ends = C.spans(C.to_array(C.join(list(words))))
+    return np.sort(C.segment_hashes(cp, starts, ends)) if len(words) else np.zeros(0, np.uint64)
+
+
+def _distinct(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Number of distinct values of each of n documents."""
+    _, first = np.unique(C.mix(value + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    return np.bincount(doc[first], minlength=n)
+
+
+def word_counts(texts: Sequence[str | None], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words are common ones (by their hashes), and the share of words that repeat.
+
+    Words are Latin runs and neighbouring pairs of Chinese characters. The share is the greater one of words that
+    repeat one of their stretch, and of shingles that repeat one of the text; ``FEW`` words that don't are added.
+    """
+    n = len(texts)
+    cp, starts, ends = C.spans(C.to_array(C.join(texts).lower()))
+    owner = np.repeat(np.arange(n), ends - starts)
+    latin = (cp >= 97) & (cp <= 122)
+    han = (_classes()[cp] & _HANZI) > 0
+    joined = np.concatenate((owner[1:] == owner[:-1], [False])) if len(cp) else np.zeros(0, bool)  # the next character is of the same text
+
+    def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        on = mask & joined & np.concatenate((mask[1:], [False]))  # goes on
+        return np.flatnonzero(mask & ~np.concatenate(([False], on[:-1]))), np.flatnonzero(mask & ~on) + 1
+
+    if not len(cp):
+        return np.zeros(n), np.zeros(n)
+    a, z = runs(latin)
+    of_latin = C.segment_hashes(cp, a, z)
+    usual = np.bincount(owner[a[np.isin(of_latin, common)]], minlength=n)
+    b, y = runs(han)
+    single = b[y - b == 1]
+    pair = np.flatnonzero(han & joined & np.concatenate((han[1:], [False])))
+    wide = cp.astype(np.uint64)
+    at = np.concatenate((a, single, pair))
+    value = np.concatenate((of_latin, C.mix(wide[single] + np.uint64(1 << 40)), C.mix(wide[pair] * np.uint64(1 << 21) + wide[np.minimum(pair + 1, len(cp) - 1)] + np.uint64(1 << 50))))
+    order = np.argsort(at, kind="stable")
+    value, doc = value[order], owner[at[order]]
+    count = np.bincount(doc, minlength=n)
+    place = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+    of = count[doc]
+    whole = (of <= STRETCH) | (place < of // STRETCH * STRETCH)
+    tail = (of > STRETCH) & (of % STRETCH > 0) & (place >= of - STRETCH)  # the last stretch overlaps the one before
+    part = np.concatenate((place[whole] // STRETCH, np.full(tail.sum(), 1 << 40)))
+    d, v = np.concatenate((doc[whole], doc[tail])), np.concatenate((value[whole], value[tail]))
+    total = np.bincount(d, minlength=n)
+    near = (total - _distinct(d, v + part.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), n)) / (total + FEW)
+    begins = np.flatnonzero(place + SHINGLE <= of)
+    shingle = np.zeros(len(begins), np.uint64)
+    for k in range(SHINGLE):
+        shingle = C.mix(shingle * np.uint64(0xC2B2AE3D27D4EB4F) + value[begins + k])
+    total = np.bincount(doc[begins], minlength=n)
+    far = (total - _distinct(doc[begins], shingle, n)) / (total + FEW)
+    return usual, np.maximum(near, far)
+
+
+def measures(texts: Sequence[str | None], english: np.ndarray, chinese: re.Pattern[str]) -> np.ndarray:
+    """Statistics in the order of STATS, then words, lines, visible characters and whether the language is Chinese; a row per text."""
+    texts = ["" if t is None else t for t in texts]
+    cp, starts, ends = C.spans(C.to_array(C.join(texts)))
+    kinds = _classes()[cp]
+    same = np.repeat(np.arange(len(texts)), ends - starts)
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(mask)))
+        return total[ends] - total[starts]
+
+    latin = (kinds & _LATIN) > 0
+    goes_on = np.concatenate(([False], latin[:-1] & (same[1:] == same[:-1]))) if len(cp) else latin
+    n_latin, n_han = count(latin), count((kinds & _HANZI) > 0)
+    words = count(latin & ~goes_on) + n_han
+    visible = np.maximum(ends - starts - count((kinds & _BLANK) > 0), 1)
+    middle = np.zeros(len(cp), bool)  # the second of three characters that only wrong decoding gives together
+    if len(cp) > 2:
+        middle[1:-1] = (cp[1:-1] == ord("斤")) & (cp[:-2] == ord("锟")) & (cp[2:] == ord("拷"))
+    usual, repeated = word_counts(texts, english)
+    k = len(STATS)
+    out = np.zeros((len(texts), k + 4))
+    for i, text in enumerate(texts):
+        lines = [x for x in text.split("\n") if x.strip()]
+        if not lines:
+            continue
+        n = len(lines)
+        sentences = [x for x in map(str.strip, _SPLIT.split(text)) if x]
+        out[i, k + 1] = n
+        out[i, [3, 4, 5, 6, 8, 9]] = (
+            sum(bool(_END.search(x)) for x in lines) / n, sum(map(len, chinese.findall(text))) if n_han[i] else 0, sum(is_entry(x, n >= BARE) for x in lines) / n,
+            sum(is_row(x, n >= ROWS) for x in lines) / n, sum(map(len, _RUN.findall(text))) / visible[i], (len(sentences) - len(set(sentences))) / (len(sentences) + 2),
+        )
+    full = out[:, k + 1] > 0
+    out[:, 0] = np.log1p(words)
+    out[:, 1] = (n_latin + n_han) / np.maximum(words, 1)
+    out[:, 2] = count((kinds & _SYMBOL) > 0) / visible
+    out[:, 4] = (out[:, 4] + usual + PRIOR_WORDS * PRIOR_SHARE) / (words + PRIOR_WORDS)
+    out[:, 7] = count(((kinds & _ODDITY) > 0) | middle) / visible
+    out[:, 10] = np.log1p(visible / np.maximum(out[:, k + 1], 1))
+    out[:, 11] = count((kinds & _DIGIT) > 0) / visible
+    out[:, 12] = repeated
+    out[:, k], out[:, k + 2], out[:, k + 3] = words, visible, n_han > 0.3 * (n_han + n_latin)
+    return np.where(full[:, None], out, 0.0)
 
 
 def _measured(docs: DataFrame, words: DataFrame, key: str, text: str) -> DataFrame:
     rows = words.select("lang", "word").where("word is not null").collect()  # a word list: its size doesn't follow the documents
-    english = frozenset(r[1].lower() for r in rows if _WORD.fullmatch(r[1]))
+    english = word_hashes(sorted({r[1].lower() for r in rows if _WORD.fullmatch(r[1])}))
     han = sorted({r[1] for r in rows if _HAN.search(r[1])}, key=len, reverse=True)
     chinese = re.compile("|".join(map(re.escape, han)) or "(?!)")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            m = np.array([statistics(t or "", english, chinese) for t in b["t"]]).reshape(-1, len(STATS) + 4)
-            k = len(STATS)
+        k = len(STATS)
+        for b in (w.iloc[low:high] for w in batches for low, high in C.slices(w["t"].tolist())):
+            m = measures(b["t"].tolist(), english, chinese)
             yield pd.DataFrame({
-                "k": b["k"], "zh": m[:, k + 3] > 0, "x": list(m[:, :k]), "words": m[:, k].astype(np.int64),
+                "k": b["k"].to_numpy(), "zh": m[:, k + 3] > 0, "x": list(m[:, :k]), "words": m[:, k].astype(np.int64),
                 "lines": m[:, k + 1].astype(np.int64), "chars": m[:, k + 2].astype(np.int64),
             })
 
