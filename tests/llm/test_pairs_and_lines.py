@@ -209,5 +209,35 @@ def test_truncated(spark):
     assert any(r.reason == "limit" and r.length == 120 for r in got)
 
 
+def test_limits_find_cuts_that_endings_cannot(spark, monkeypatch):
+    rng = random.Random(16)
+    word = lambda n: "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(n))
+    rows = [(k, "s", None, "".join(word(rng.randrange(8, 30)) + "。" for _ in range(rng.randrange(5, 14)))) for k in range(600)]
+    cut = [(1000 + k, "s", None, ("".join(word(9) + "，" for _ in range(20)))[:97] + word(3)) for k in range(40)]  # open endings at 100 characters
+    # cut there as well, but with the form of a link, a version, a list entry; and whole texts of that form and of that length
+    formed = [(2000, "s", None, word(70) + "。\nhttps://a.example/" + "x" * 10), (2001, "s", None, word(92) + "。\nv1.2.3")]
+    whole = [(3000, "s", None, word(60) + "。\nhttps://a.example/" + "x" * 10), (3001, "s", None, word(99) + "。"), (3002, "s", None, word(49) + "。" + word(49) + "！")]
+    assert {len(r[3]) for r in cut + formed + whole[1:]} == {100}
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows + cut + formed + whole], DOC)
+    found = {r.seq for r in truncation.truncated(df).collect()}
+    assert found == {r[0] for r in cut + formed}
+    assert {(r.part, r.encoding, r.length) for r in truncation.limits_of(df).collect()} >= {("text", "points", 100), ("body", "points", 100)}
+    none = truncation.hidden_limits
+    monkeypatch.setattr(truncation, "hidden_limits", lambda features: none(features).where("false"))
+    assert {r.seq for r in truncation.truncated(df).collect()} == {r[0] for r in cut}
+
+
+def test_remarks_and_edited_copies(spark):
+    rng = random.Random(17)
+    word = lambda n: "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(n))
+    rows = [(k, "s", None, "".join(word(rng.randrange(8, 30)) + "。" for _ in range(6))) for k in range(300)]
+    rows += [(1000 + k, "s", None, t) for k, t in enumerate(("同问", "mark", "顶", "这是一个没有任何标点的很长的评语也就这样结束了"))]
+    head, tail = word(30) + "，", "\n我们随后把它改"
+    rows += [(2000 + k, "s", None, head + word(40) + "。" + word(k) + tail) for k in range(6)]  # edited copies of a cut text, too few for a line of the page
+    rows += [(3000, "s", None, "前面说过，后面也要"), (3001, "s", None, "然后展开一看...Read More")]
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], DOC)
+    assert {r.seq for r in truncation.truncated(df).collect()} == {*range(2000, 2006), 3000, 3001}
+
+
 def test_truncated_nothing(spark):
     assert truncation.truncated(spark.createDataFrame([], DOC)).count() == 0

@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": truncation.found,
         "p1_sources": truncation.shares,
+        "p1_limits": truncation.limits,
         "p2_found": neardup.found,
         "p3_found": sitelines.found,
         "p3_clean": sitelines.cleaned,

@@ -7,7 +7,7 @@ are tested, and the p values are controlled for false discovery (Benjamini-Hochb
 -log10 p, so no global sort is needed). Significant lines that also reach the stated shares are the site's
 lines; they are taken out of each text by position, and only positions are exchanged for that.
 
-Counts are summed inside each Arrow batch first, then by (line, source, account), (line, source) and line, each
+The texts are read once, to a table of narrow line rows; counts go by (line, source, account), (line, source) and line, each
 with partial sums before the exchange, so no popular line is gathered in one task. Defined results: null texts have no lines; null sources are a source of their own; null
 authors are in no account; empty tables give no rows; repeated rows count as often as they occur;
 only the named columns are read.
@@ -94,21 +94,32 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield b.iloc[low:high].reset_index(drop=True)
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
-    """``(key, source, account, rows)``: in how many rows of an account each line stands."""
+COUNTS, FIRST, ONCE = 1, 2, 4  # flags of a line: it may count; the first such line of its text with this key; the first of all
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``(seq, line_no, key, source, account, flags)`` of every line of every text; the one pass over the texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _pieces(batches):
-            _, owner, key, counts = line_table(b["text"].tolist())
+            _, o, key, counts = line_table(b["text"].tolist())
+            if not len(o):
+                continue
             source = _codes(b["source"], code)
             who = _codes(b["author"], lambda a: code(account(a), 1) if a is not None else 0)
-            rows = pd.DataFrame({"o": owner[counts], "key": key[counts]}).drop_duplicates()
-            o = rows["o"].to_numpy()
-            part = pd.DataFrame({"key": rows["key"].to_numpy(), "source": source[o], "account": who[o]})
-            yield part.groupby(["key", "source", "account"], as_index=False, sort=False).size().rename(columns={"size": "n"})
+            no = np.arange(len(o)) - np.searchsorted(o, o) + 1
+            once = ~pd.DataFrame({"o": o, "key": key}).duplicated().to_numpy()
+            first = ~pd.DataFrame({"o": o, "key": key, "c": counts}).duplicated().to_numpy() & counts
+            flags = counts * COUNTS + first * FIRST + once * ONCE
+            yield pd.DataFrame({"seq": b["seq"].to_numpy()[o], "line_no": no, "key": key, "source": source[o], "account": who[o], "flags": flags})
 
-    parts = _slim(docs).mapInPandas(run, "key bigint, source bigint, account bigint, n bigint")
-    return parts.groupBy("key", "source", "account").agg(F.sum("n").alias("rows"))
+    return _slim(docs).mapInPandas(run, "seq bigint, line_no int, key bigint, source bigint, account bigint, flags int")
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """``(key, source, account, rows)``: in how many rows of an account each line stands."""
+    first = F.col("flags").bitwiseAND(FIRST) != 0
+    return lines.where(first).groupBy("key", "source", "account").agg(F.count("*").alias("rows"))
 
 
 def row_counts(docs: DataFrame) -> DataFrame:
@@ -162,7 +173,7 @@ def discovery_cut(tests: DataFrame, rate: float, bins: int = 400, per_unit: int
     return best
 
 
-def line_tests(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+def line_tests(docs: DataFrame, rule: Rule = Rule(), lines: DataFrame | None = None) -> DataFrame:
     """``(source, account, key, k, n1, k2, n2, strength, shared)`` of every line that is repeated in a source.
 
     The outside of a source is made of the sources in which the line isn't repeated itself (fewer than ``min_rows``
@@ -170,7 +181,7 @@ def line_tests(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     belongs to it on the same condition. Where the outside is so small that even a line absent from it couldn't
     be told from chance (strength below ``LEAST``), a line of one row in each ``n1`` rows stands for the outside.
     """
-    counts = cut(line_counts(docs))
+    counts = cut(line_counts(lines_of(docs) if lines is None else lines))
     sizes = cut(row_counts(docs))
     n = sizes.agg(F.sum("account_rows")).head()[0] or 0
     per_source = sizes.groupBy("source").agg(F.sum("account_rows").alias("source_rows"))
@@ -208,34 +219,24 @@ def line_tests(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return tests.withColumn("strength", _log10_p(g))
 
 
-def site_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """Marked lines ``(source, account, key)``; account 0 means the whole source.
+def site_lines(docs: DataFrame, rule: Rule = Rule(), lines: DataFrame | None = None) -> DataFrame:
+    """Marked lines ``(source, account, key)``; account 0 means the whole source. ``lines``: :func:`lines_of` the documents, if at hand.
 
     The ratio chooses under discovery control; of the chosen lines those stay that have the stated shares.
     """
-    tests = cut(line_tests(docs, rule))
+    tests = cut(line_tests(docs, rule, lines))
     limit = discovery_cut(tests, rule.discovery_rate)
     return cut(tests.where((F.col("strength") > 0) & (F.col("strength") >= F.lit(limit)) & F.col("shared")).select("source", "account", "key"))
 
 
-def marked_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def marked_lines(docs: DataFrame, marks: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """``(seq, line_no)`` of every line that is marked for its source or account.
 
     All lines are joined with the marks of their source and of their account; Spark broadcasts the marks if they are small enough.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _pieces(batches):
-            _, owner, key, counts = line_table(b["text"].tolist())
-            source = _codes(b["source"], code)
-            who = _codes(b["author"], lambda a: code(account(a), 1) if a is not None else 0)
-            no = np.arange(len(owner)) - np.searchsorted(owner, owner) + 1
-            o, k, no = owner[counts], key[counts], no[counts]
-            yield pd.DataFrame({"seq": b["seq"].to_numpy()[o], "line_no": no, "key": k, "source": source[o], "account": who[o]})
-
-    each = _slim(docs).mapInPandas(run, "seq bigint, line_no int, key bigint, source bigint, account bigint")
-    of_source = lines.where("account = 0").select("key", "source", F.lit(True).alias("by_source"))
-    of_account = lines.where("account <> 0").select("key", "source", "account", F.lit(True).alias("by_account"))
+    each = (lines_of(docs) if lines is None else lines).where(F.col("flags").bitwiseAND(COUNTS) != 0)
+    of_source = marks.where("account = 0").select("key", "source", F.lit(True).alias("by_source"))
+    of_account = marks.where("account <> 0").select("key", "source", "account", F.lit(True).alias("by_account"))
     hit = each.join(of_source, ["key", "source"], "left").join(of_account, ["key", "source", "account"], "left")
     return hit.where("by_source or by_account").select("seq", "line_no")
 
@@ -256,11 +257,13 @@ def _docs(spark, sf_dir: str) -> DataFrame:
 def found(spark, sf_dir: str) -> DataFrame:
     """Query p3_found: (seq, line_no) of the site's lines."""
     docs = _docs(spark, sf_dir)
-    return marked_lines(docs, site_lines(docs))
+    lines = cut(lines_of(docs))
+    return marked_lines(docs, site_lines(docs, lines=lines), lines)
 
 
 def cleaned(spark, sf_dir: str) -> DataFrame:
     """Query p3_clean: each text without the site's lines, and how many were removed."""
     docs = _docs(spark, sf_dir).select("seq", "source", "author", "text")
-    out = without_lines(docs, marked_lines(docs, site_lines(docs)))
+    lines = cut(lines_of(docs))
+    out = without_lines(docs, marked_lines(docs, site_lines(docs, lines=lines), lines))
     return out.select("seq", "source", "clean_text", (F.length("text") - F.length("clean_text")).alias("chars_removed"))

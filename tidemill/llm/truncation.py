@@ -8,9 +8,12 @@
    storage limit.
 3. Endings are inspected: a sentence mark ends a text; a broken character, entity, tag or an ellipsis
    with an expansion label cuts it; anything else is complete only if it has the form of a closing
-   (signature, hash tags, reference, link, fence, list entry) or recurs as a whole line or closing form
-   in other texts, and doesn't sit at a hidden limit. Closings, forms, page lines and limits are counted over
-   distinct texts: copies of one text prove nothing about its ending.
+   (signature, hash tags, reference, link, fence, list entry) and doesn't sit at a hidden limit, or recurs as a
+   whole line or closing form in other texts, or is a remark without any punctuation. Closings, forms, page lines
+   and limits are counted over distinct texts, closings and forms over texts that begin differently as well:
+   copies and edited copies of one text prove nothing about its ending.
+
+A text that ends with a sentence mark is complete even at a limit: length alone proves nothing (see README).
 
 Defined results: null and blank texts are not truncated (nothing breaks off); a flag in ``truncated`` is
 not read; repeated rows are judged alike; empty tables give no rows; only named columns are read.
@@ -34,10 +37,10 @@ from tidemill.session import cut
 ENCODINGS = ("points", "utf8", "utf16", "gb18030", "html", "json_ascii", "json", "crlf", "crlf_utf8", "lf", "html_utf8")
 PAGE = sitelines.Rule(source_share=0.01, account_share=0.05)
 TERMINAL, FORM, OPEN, CUT = 0, 1, 2, 3
-#: Shares of distinct bodies from which an ending line or form counts as a usual closing.
-CLOSING_SHARE, CLOSING_ROWS = 0.0004, 3
-
-REMARK = 8  # a text of so few characters in all is a remark, which needs no sentence mark
+#: A usual closing ends this share of all distinct texts, three at least; half of those at least begin differently.
+#: A lower share takes broken stock sentences for closings ("If you are also preparing" cut at the same word in several texts).
+CLOSING_SHARE, CLOSING_TEXTS, CLOSING_OPENINGS = 0.0004, 3, 0.5
+OPENING = 16  # letters and digits that tell texts from edited copies
 
 # Expansion labels of folded text, with or without brackets.
 FOLDED = ("展开全文", "展开全部", "展开", "显示全部", "查看全部", "查看全文", "查看剩余内容", "阅读全文", "查看更多", "收起前的内容已折叠，点此展开",
@@ -47,7 +50,7 @@ UNFOLDED = ("收起", "收起全文", "show less")
 
 _STRIP = "[]【】()（）<>《》「」*_~ \t\r​　 "
 _ENDS = set("。．.！!？?；;」』”’\"'）)】〕》〉>}~～`")
-_MARKER = re.compile(rf"(?:…|\.\.\.|⋯)\s*(?:{'|'.join(map(re.escape, FOLDED))})?\s*$|(?:{'|'.join(map(re.escape, FOLDED[2:9]))})\s*$")
+_MARKER = re.compile(rf"(?:…|\.\.\.|⋯)\s*(?:{'|'.join(map(re.escape, FOLDED))})?\s*$|(?:{'|'.join(map(re.escape, FOLDED[2:9]))})\s*$", re.I)
 _BROKEN = re.compile(r"�\s*$|&(?:#?[a-zA-Z0-9]{0,7})$|<[a-zA-Z/!][^<>]{0,60}$|!?\[[^\]\s]{0,12}$|\\u?[0-9a-fA-F]{0,3}$|[(（「『《【“‘\[{,，、：:]\s*$")
 _URL = re.compile(r"https?://[^\s，。]+$")
 _FORMS = re.compile(
@@ -55,6 +58,7 @@ _FORMS = re.compile(
 )
 _LIST = re.compile(r"^\s*(?:[-*•·]|\d+[.、)])\s+\S")
 _SENTENCE = re.compile(r"[。！？!?，,；;]|\.\s")
+_POINT = re.compile(r"[，。！？；：、…,.!?;:\n]")
 
 
 def _weights(cp: np.ndarray) -> Iterator[np.ndarray]:
@@ -86,14 +90,16 @@ def _weights(cp: np.ndarray) -> Iterator[np.ndarray]:
     yield utf8 + html
 
 
-def lengths(texts: list[str]) -> np.ndarray:
-    """Length of each text under each encoding; shape (n, len(ENCODINGS))."""
+def lengths(texts: list[str], parts: list[int] | None = None) -> np.ndarray:
+    """Length of each text under each encoding, then of its first ``parts`` characters; shape (n, len(ENCODINGS)) or twice as wide."""
     cp, starts, ends = C.spans(C.to_array(C.join(texts)))
-    out = np.zeros((len(ENCODINGS), len(texts)), np.int32)
-    full = ends > starts  # reduceat would read a neighbour for an empty text
-    if full.any():
-        for i, w in enumerate(_weights(cp)):
-            out[i, full] = np.add.reduceat(w, starts[full], dtype=np.int64)
+    out = np.zeros((len(ENCODINGS) * (1 if parts is None else 2), len(texts)), np.int32)
+    stops = None if parts is None else starts + np.asarray(parts, np.int64)
+    for i, w in enumerate(_weights(cp)):
+        total = np.concatenate(([0], np.cumsum(w, dtype=np.int64)))
+        out[i] = total[ends] - total[starts]
+        if stops is not None:
+            out[len(ENCODINGS) + i] = total[stops] - total[starts]
     return out.T
 
 
@@ -155,8 +161,8 @@ def _features(docs: DataFrame, marked: DataFrame) -> DataFrame:
                 k = ending(last) if last else TERMINAL
                 if folded and k in (OPEN, FORM) and not (last.rstrip() and last.rstrip()[-1] in _ENDS):
                     k = CUT
-                if k == OPEN and len(body.strip()) <= REMARK:
-                    k = FORM
+                if k == OPEN and not _POINT.search(body.strip()):
+                    k = FORM  # a remark: its writer uses no marks at all
                 bodies.append(body)
                 kinds.append(k)
                 lines.append(last)
@@ -164,15 +170,17 @@ def _features(docs: DataFrame, marked: DataFrame) -> DataFrame:
             masked = [_masked(x) for x in lines]
             exact = [sitelines.code(m, 2) for m in masked]
             form = [sitelines.code(f"{m[:4]}\x00{m[-3:]}", 3) if len(m) >= 6 else 0 for m in masked]
-            both = np.concatenate((lengths(texts), lengths(bodies)), axis=1)
+            both = lengths(texts, [len(x) for x in bodies])
+            cp, starts, ends = C.normalised([x[:256] for x in bodies])
+            opening = C.segment_hashes(cp, starts, np.minimum(ends, starts + OPENING)).view(np.int64)
             entry = [bool(_LIST.match(x)) or (len(x) < 40 and not _SENTENCE.search(x)) for x in lines]
             yield pd.DataFrame({
                 "seq": b["seq"], "source": b["source"], "kind": kinds, "key": key, "exact": exact, "form": form,
-                "entry": entry, "lengths": list(both), "body": [sitelines.code(x, 4) for x in bodies],
+                "entry": entry, "lengths": list(both), "body": [sitelines.code(x, 4) for x in bodies], "opening": opening,
             })
 
     return slim.mapInPandas(
-        run, "seq bigint, source string, kind int, key bigint, exact bigint, form bigint, entry boolean, lengths array<int>, body bigint"
+        run, "seq bigint, source string, kind int, key bigint, exact bigint, form bigint, entry boolean, lengths array<int>, body bigint, opening bigint"
     )
 
 
@@ -192,48 +200,59 @@ def hidden_limits(features: DataFrame, reach: int = 12, ratio: float = 6.0, leas
     ).drop("around", "total")
 
 
-def line_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """In how many rows each wanted line key stands, anywhere in the text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole, (low, high) in ((w, r) for w in batches for r in C.slices(w["text"].tolist())):
-            _, owner, key, _ = sitelines.line_table(whole["text"].tolist()[low:high])
-            rows = pd.DataFrame({"o": owner, "key": key}).drop_duplicates()
-            yield rows.groupby("key", as_index=False, sort=False).size().rename(columns={"size": "n"})
-
-    parts = docs.select("text").where("text is not null").mapInPandas(run, "key bigint, n bigint")
-    return parts.join(wanted, "key", "left_semi").groupBy("key").agg(F.sum("n").alias("line_rows"))
-
-
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """One row of each text of a source, the first captured."""
     first = docs.where("text is not null").groupBy("source", F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min("seq").alias("seq"))
     return docs.join(first.select("seq"), "seq", "left_semi")
 
 
+def _recurring(endings: DataFrame, by: str, texts: int) -> DataFrame:
+    """Values of ``by`` that end a closing's share of the ``texts``, with different openings. Counts are partial before each exchange."""
+    per_opening = endings.select(by, "opening", "body").distinct().groupBy(by, "opening").agg(F.count("*").alias("n"))
+    of_value = per_opening.groupBy(by).agg(F.count("*").alias("openings"), F.sum("n").alias("bodies"))
+    least = max(CLOSING_TEXTS, CLOSING_SHARE * texts)
+    return of_value.where((F.col("bodies") >= least) & (F.col("openings") >= CLOSING_TEXTS) & (F.col("openings") >= CLOSING_OPENINGS * F.col("bodies")))
+
+
+def _inspected(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features of the texts, and the lines they were found with."""
+    lines = cut(sitelines.lines_of(docs))
+    first = distinct_texts(docs.select("seq", "source", "author", "text"))
+    marks = sitelines.site_lines(first, PAGE, lines.join(first.select("seq"), "seq", "left_semi"))
+    return cut(_features(docs, sitelines.marked_lines(docs, marks, lines))), lines
+
+
+def limits_of(docs: DataFrame) -> DataFrame:
+    """``(source, part, encoding, length, open_rows, rows)``: the hidden limits, of whole texts and of their bodies."""
+    names = F.array(*(F.lit(e) for e in ENCODINGS))
+    n = len(ENCODINGS)
+    return hidden_limits(_inspected(docs)[0]).select(
+        "source", F.when(F.col("measure") < n, "text").otherwise("body").alias("part"), F.get(names, F.col("measure") % n).alias("encoding"), "length", "open_rows", "rows"
+    )
+
+
 def truncated(docs: DataFrame) -> DataFrame:
     """``(seq, source, reason, limit_measure, limit_length)`` of the texts that break off."""
-    marked = sitelines.marked_lines(docs, sitelines.site_lines(distinct_texts(docs), PAGE))
-    features = cut(_features(docs, marked))
+    features, lines = _inspected(docs)
     limits = cut(hidden_limits(features))
-    bodies = features.select("body").distinct().count()
-    floor = max(CLOSING_ROWS, CLOSING_SHARE * bodies)
-    doubtful = features.where(F.col("kind").isin(FORM, OPEN)).select("seq", "source", "kind", "key", "exact", "form", "entry", "lengths", "body")
+    doubtful = features.where(F.col("kind").isin(FORM, OPEN)).select("seq", "source", "kind", "key", "exact", "form", "entry", "lengths", "body", "opening")
     # every ending counts, so that a line which only ever ends texts doesn't seem to stand inside of one
     final = features.join(doubtful.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("ending_rows"))
-    inside = line_rows(docs, final.select("key")).join(final, "key").select("key", (F.col("line_rows") > F.col("ending_rows")).alias("stands_inside"))
-    lines = doubtful.select("exact", "body").distinct().groupBy("exact").agg(F.count("*").alias("exact_rows")).where(F.col("exact_rows") >= floor)
-    forms = doubtful.where("form <> 0").select("form", "body").distinct().groupBy("form").agg(F.count("*").alias("form_rows")).where(F.col("form_rows") >= floor)
+    stands = lines.where(F.col("flags").bitwiseAND(sitelines.ONCE) != 0).join(final.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("line_rows"))
+    inside = stands.join(final, "key").select("key", (F.col("line_rows") > F.col("ending_rows")).alias("stands_inside"))
+    texts = features.agg(F.approx_count_distinct("body", 0.01)).head()[0]
+    usual_lines = _recurring(doubtful, "exact", texts).select("exact", F.lit(True).alias("usual_line"))
+    usual_forms = _recurring(doubtful.where("form <> 0"), "form", texts).select("form", F.lit(True).alias("usual_form"))
     hits = (
         doubtful.select("seq", "source", F.posexplode("lengths").alias("measure", "length"))
         .join(limits.select("source", "measure", "length"), ["source", "measure", "length"])
         .groupBy("seq").agg(F.min_by(F.struct("measure", "length"), "measure").alias("limit"))
     )
     judged = (
-        doubtful.drop("lengths", "body").join(inside, "key", "left").join(lines, "exact", "left").join(forms, "form", "left").join(hits, "seq", "left")
+        doubtful.drop("lengths", "body", "opening").join(inside, "key", "left").join(usual_lines, "exact", "left").join(usual_forms, "form", "left").join(hits, "seq", "left")
     )
-    usual = F.col("exact_rows").isNotNull() | (F.coalesce(F.col("stands_inside"), F.lit(False)) & F.col("entry"))
-    closing = usual | F.col("form_rows").isNotNull()
+    usual = F.col("usual_line").isNotNull() | (F.coalesce(F.col("stands_inside"), F.lit(False)) & F.col("entry"))
+    closing = usual | F.col("usual_form").isNotNull()
     at_limit = F.col("limit").isNotNull()
     reason = (
         F.when((F.col("kind") == OPEN) & at_limit & ~usual, "limit")
@@ -264,3 +283,8 @@ def shares(spark, sf_dir: str) -> DataFrame:
     joined = every.join(bad, every["source"].eqNullSafe(bad["source"]), "left").drop(bad["source"])
     n = F.coalesce("truncated_rows", F.lit(0))
     return joined.select("source", "rows", n.alias("truncated_rows"), F.round(n / F.col("rows"), 6).alias("truncated_share"))
+
+
+def limits(spark, sf_dir: str) -> DataFrame:
+    """Query p1_limits: hidden storage limits of each source, under each encoding that shows them."""
+    return limits_of(_docs(spark, sf_dir))
