@@ -43,6 +43,7 @@ NAMED = 49.0  # what the statistics of junk must contribute together: seven stan
 BARE, ROWS = 3, 2  # lines from which short lines without a mark are entries, and commas or semicolons part cells; fewer are a remark or a statement
 PRIOR_WORDS, PRIOR_SHARE = 8, 0.3  # words of usual prose that every text counts as having beside its own: few words show no lack of common ones
 STRETCH, FEW, SHINGLE = 100, 10, 8  # words of a stretch, words without repetition that every text counts as having, words of a shingle
+SLICE = 100_000  # characters measured at once, so that the arrays stay in the processor's cache
 
 _HAN = re.compile("[㐀-鿿豈-﫿]")
 _WORD = re.compile("[A-Za-z]+")
@@ -102,7 +103,7 @@ def _classes() -> np.ndarray:
     for bit, pattern in ((_SYMBOL, r"[!-/:-@\[-`{-~]"), (_ODDITY, _ODD), (_LATIN, "[A-Za-z]"), (_HANZI, _HAN.pattern)):
         test = re.compile(pattern)
         out[[i for i in range(0x10000) if test.match(chr(i))]] |= bit
-    every = [chr(i) for i in range(sys.maxunicode + 1)]
+    every = [chr(i) for i in range(0x20000)]  # no blank and no digit lies beyond
     out[[i for i, c in enumerate(every) if c.isspace()]] |= _BLANK
     out[[i for i, c in enumerate(every) if c.isdigit()]] |= _DIGIT
     return out
@@ -221,7 +222,7 @@ def _measured(docs: DataFrame, words: DataFrame, key: str, text: str) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(STATS)
-        for b in (w.iloc[low:high] for w in batches for low, high in C.slices(w["t"].tolist())):
+        for b in (w.iloc[low:high] for w in batches for low, high in C.slices(w["t"].tolist(), SLICE)):
             m = measures(b["t"].tolist(), english, chinese)
             yield pd.DataFrame({
                 "k": b["k"].to_numpy(), "zh": m[:, k + 3] > 0, "x": list(m[:, :k]), "words": m[:, k].astype(np.int64),
