@@ -86,7 +86,7 @@ def plan(sizes: list[tuple[str, int]], targets: list[tuple[str, float | None, in
 
 def _cut_points(drawn: DataFrame, need: DataFrame) -> DataFrame:
     """Rows of ``drawn`` (key, source, tokens, place in [0, 1)) that come first in their source until ``need`` tokens."""
-    scale, taken, edge = 1, None, drawn.join(need, "source")
+    scale, taken, edge = 1, None, drawn.join(F.broadcast(need), "source")  # need has a row per target
     width = 1.0
     for _ in range(3):
         lower = F.col("lower") if scale > 1 else F.lit(0.0)
