@@ -1,9 +1,8 @@
 """Content fingerprints and 64-bit SimHash.
 
-The native SimHash is the definition: tokens, 64 signed sums, sign bits, all as JVM expressions. The
-Arrow form gives the same values and is faster on wide texts, as it hashes each distinct token of a
-worker once. Both take runs of Han characters as single characters and pairs, and runs of ASCII letters
-and digits as words.
+A SimHash is counted where its text is read: the tokens of an Arrow batch are found by numpy, each distinct one
+is hashed once, and nothing is exchanged. Runs of Han characters count as single characters and pairs, runs of
+ASCII letters and digits as words.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -38,38 +37,6 @@ def content_hash(c: Column) -> Column:
     return F.substring(F.sha2(F.regexp_replace(F.lower(c), r"[\p{P}\p{S}\s 　﻿]+", ""), 256), 1, 16)
 
 
-def tokens(c: Column) -> Column:
-    """Words and numbers, Han characters and neighbouring Han pairs, with repeats."""
-    low = F.lower(c)
-    words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
-    runs = F.regexp_extract_all(low, F.lit("([\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff]+)"), F.lit(1))
-    singles = F.flatten(F.transform(runs, lambda r: F.split(r, "(?!^)(?!$)")))
-    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) > 1, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))))
-    return F.concat(words, singles, pairs)
-
-
-def simhash_native(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, simhash)``: one row per text; equal tokens are counted before they are hashed."""
-    # one exchange of texts by key serves both groupings, so tokens are never exchanged
-    texts = df.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).repartition("_id")
-    each = texts.select("_id", F.explode(tokens(F.col("_t"))).alias("token"))
-    counted = each.groupBy("_id", "token").agg(F.count("*").alias("n"))
-    h = F.conv(F.substring(F.sha2("token", 256), 1, 16), 16, -10).cast("bigint")
-    hashed = counted.withColumn("h", h)
-    # ones of bit i in the low and of bit i + 32 in the high half of one sum: half the aggregates
-    one = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1 | 1 << 32).cast("bigint"))
-    ones = [F.sum(one(i) * F.col("n")).alias(f"b{i}") for i in range(32)]
-    summed = hashed.groupBy("_id").agg(F.sum("n").alias("n"), *ones)
-    value = F.lit(0).cast("bigint")
-    for i in range(64):
-        count = F.shiftrightunsigned(f"b{i % 32}", 32) if i >= 32 else F.col(f"b{i}").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-        value = value.bitwiseOR(F.when(2 * count >= F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    empty = int(sha256(b"").hexdigest()[:16], 16)
-    none = F.lit(empty - (1 << 64) if empty >> 63 else empty).cast("bigint")
-    got = summed.select(F.col("_id").alias(key), value.alias("simhash"))
-    return df.select(key).join(got, key, "left").select(key, F.lpad(F.lower(F.hex(F.coalesce("simhash", none))), 16, "0").alias("simhash"))
-
-
 @lru_cache(maxsize=200_000)
 def _lanes(token: str) -> np.ndarray:
     bits = np.unpackbits(np.frombuffer(sha256(token.encode()).digest()[:8], np.uint8))
@@ -100,9 +67,10 @@ def _spread(token: str) -> tuple[int, ...]:
 _IS_HAN = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)]
 
 
-def simhash_batch(texts: list[str | None]) -> list[str]:
-    """SimHash with NFKC of many texts at once; each distinct token of a batch is hashed once."""
-    cp, starts, ends = C.spans(C.to_array(unicodedata.normalize("NFKC", C.join(texts)).lower()))
+def simhash_batch(texts: list[str | None], compose: bool = True) -> list[str]:
+    """SimHash (with NFKC) of many texts at once; each distinct token of a batch is hashed once."""
+    joined = C.join(texts)
+    cp, starts, ends = C.spans(C.to_array((unicodedata.normalize("NFKC", joined) if compose else joined).lower()))
     han = np.zeros(len(cp), bool)
     for a, z in _IS_HAN:
         han |= (cp >= a) & (cp <= z)
@@ -152,6 +120,13 @@ def simhash(texts: pd.Series) -> pd.Series:
     return pd.Series([h for low, high in C.slices(values, 300_000) for h in simhash_batch(values[low:high])])
 
 
+@F.pandas_udf(StringType())
+def simhash_plain(texts: pd.Series) -> pd.Series:
+    """SimHash of texts as they are."""
+    values = texts.tolist()
+    return pd.Series([h for low, high in C.slices(values, 300_000) for h in simhash_batch(values[low:high], compose=False)])
+
+
 def as_long(hex16: Column) -> Column:
     """A 64-bit value from sixteen hex digits; null for anything else."""
     low = F.lower(hex16)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from heapq import nsmallest
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import clean_text, hits, occurrences
+from tidemill.functions.text import BLANK, hits
 
 #: A neutral pack for front-end writing; callers bring their own.
 CATEGORIES: dict[str, tuple[str, ...]] = {
@@ -18,7 +22,12 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
     "career": ("薪资", "职场", "团队", "入职", "salary", "team"),
 }
 LEXICON = ("css", "react", "vue", "websocket", "promise", "worker", "cache", "build", "缓存", "渲染", "组件", "性能", "构建", "监控", "面试", "团队")
+#: Words that are no keywords, the shape of a Latin term and of a sentence, marks that don't tell sentences apart.
 STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "into")
+_LATIN = re.compile(r"[a-z][a-z0-9+#.-]{1,24}")
+_SENTENCE = re.compile(r"[^。！？!?\n]+[。！？!?]?")
+_BLANKS = re.compile(f"{BLANK}+")
+_SAME = re.compile(f"(?:{BLANK}|[，。！？!?、；;：:])+")
 
 
 def category(title: Column, text: Column, rules: Mapping[str, Sequence[str]] = CATEGORIES, otherwise: str = "other", title_weight: int = 3) -> Column:
@@ -45,49 +54,53 @@ def tags(user: Column, suggested: Column, found: Column, most: int = 8) -> Colum
 def keywords(df: DataFrame, key: str, title: str, text: str, lexicon: Sequence[str] = LEXICON, stop: Sequence[str] = STOP_WORDS, most: int = 8) -> DataFrame:
     """``(key, keywords)``: lexicon terms and Latin tokens by count, the title counting three times; ties by term.
 
-    A Latin lexicon term counts both as a term and as a token. Counts are partial within a task; what
-    is gathered per document is bounded by its own distinct terms.
+    A Latin lexicon term counts both as a term and as a token; documents without a term have no row. Each document
+    is counted where it is read, so nothing is exchanged.
     """
-    hay = df.select(F.col(key).alias("_id"), F.lower(F.concat_ws(" ", *([F.col(title)] * 3), F.col(text))).alias("h"))
-    of_lexicon = F.array(*(F.struct(F.lit(t).alias("term"), occurrences(F.col("h"), t).alias("n")) for t in lexicon))
-    found = F.transform(F.regexp_extract_all("h", F.lit(r"([a-z][a-z0-9+#.-]{1,24})"), F.lit(1)), lambda t: F.struct(t.alias("term"), F.lit(1).alias("n")))
-    each = hay.select("_id", F.explode(F.concat(of_lexicon, found)).alias("e")).select("_id", "e.term", "e.n").where(F.col("n") > 0)
-    counted = each.where(~F.col("term").isin(*stop)).groupBy("_id", "term").agg(F.sum("n").alias("n"))
-    ranked = counted.groupBy("_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))), 1, most).alias("r"))
-    return ranked.select(F.col("_id").alias(key), F.transform("r", lambda x: x["term"]).alias("keywords"))
+    left_out = frozenset(stop)
 
+    @F.pandas_udf("array<string>")
+    def terms(titles: pd.Series, texts: pd.Series) -> pd.Series:
+        def top(name: str | None, body: str | None) -> list[str] | None:
+            hay = " ".join(x for x in (name, name, name, body) if x is not None).lower()
+            count = Counter(_LATIN.findall(hay))
+            for t in lexicon:
+                if n := hay.count(t):
+                    count[t] += n
+            for t in left_out:
+                count.pop(t, None)
+            return [t for _, t in nsmallest(most, ((-n, t) for t, n in count.items()))] or None
 
-def summary(df: DataFrame, key: str, title: str, text: str, lexicon: Sequence[str] = LEXICON, most: int = 280, picks: int = 4) -> DataFrame:
-    """``(key, summary)``: up to four telling sentences in their order; repeated sentences count once.
+        return pd.Series([top(n, b) for n, b in zip(titles, texts, strict=True)], dtype=object)
 
-    One exchange on the key serves the grouping of sentences and of documents.
-    """
-    base = df.select(F.col(key).alias("_id"), F.lower(F.coalesce(F.col(title), F.lit(""))).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    raw = base.select("_id", "t", F.posexplode(F.regexp_extract_all("x", F.lit(r"([^。！？!?\n]+[。！？!?]?)"), F.lit(1))).alias("pos", "s"))
-    s = raw.withColumn("s", clean_text(F.col("s"))).where(F.length("s") >= 12).withColumn("k", F.regexp_replace("s", r"[\p{P}\s]+", ""))
-    first = s.repartition("_id").groupBy("_id", "k").agg(F.min(F.struct("pos", "s", "t")).alias("f"))
-    ordered = first.groupBy("_id").agg(F.array_sort(F.collect_list("f")).alias("a"))
-    each = ordered.select("_id", F.posexplode("a").alias("j", "f")).select("_id", "j", "f.s", "f.t")
-    low = F.lower("s")
-    in_title = F.lit(0)
-    for term in lexicon:
-        in_title = in_title + (F.contains("t", F.lit(term)) & F.contains(low, F.lit(term))).cast("int")
-    score = (
-        F.greatest(F.lit(0), 6 - F.col("j")) + 5 * in_title + F.when(F.length("s").between(24, 90), 3).otherwise(0) + F.when(F.col("s").rlike("[。！？!?]$"), 1).otherwise(0)
-    )
-    best = each.groupBy("_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-score).alias("score"), "j", "s"))), 1, picks).alias("b"))
-    chosen = best.select("_id", F.array_sort(F.transform("b", lambda x: F.struct(x["j"].alias("j"), x["s"].alias("s")))).alias("c"))
-    joined = F.aggregate(
-        "c",
-        F.struct(F.lit("").alias("t"), F.lit(False).alias("full")),
-        lambda a, x: F.when(a["full"] | (F.length(a["t"]) + F.length(x["s"]) > most), F.struct(a["t"].alias("t"), F.lit(True).alias("full"))).otherwise(
-            F.struct(F.concat(a["t"], x["s"]).alias("t"), F.lit(False).alias("full"))
-        ),
-        lambda a: a["t"],
-    )
-    told = chosen.select("_id", joined.alias("summary"))
-    start = F.substring(clean_text(F.col("x")), 1, most)
-    return base.join(told, "_id", "left").select(F.col("_id").alias(key), F.when(F.length("summary") > 0, F.col("summary")).otherwise(start).alias("summary"))
+    return df.select(F.col(key), terms(title, text).alias("keywords")).where("keywords is not null")
+
+
+def summary(df: DataFrame, key: str, title: str, text: str, lexicon: Sequence[str] = LEXICON, most: int = 280, picks: int = 4) -> DataFrame:
+    """``(key, summary)``: up to four telling sentences in their order; repeated sentences count once. Nothing is exchanged."""
+
+    def told(name: str, body: str) -> str:
+        in_title, seen, scored = [t for t in lexicon if t in name], set(), []
+        for raw in _SENTENCE.findall(body):
+            s = _BLANKS.sub(" ", raw).strip(" ")
+            if len(s) < 12 or (k := _SAME.sub("", s)) in seen:
+                continue
+            j, low = len(seen), s.lower()
+            seen.add(k)
+            score = max(0, 6 - j) + 5 * sum(t in low for t in in_title) + 3 * (24 <= len(s) <= 90) + (s[-1] in "。！？!?")
+            scored.append((-score, j, s))
+        out = ""
+        for _, _, s in sorted(nsmallest(picks, scored), key=lambda x: x[1]):
+            if len(out) + len(s) > most:
+                break
+            out += s
+        return out or _BLANKS.sub(" ", body).strip(" ")[:most]
+
+    @F.pandas_udf("string")
+    def tell(titles: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([told((n or "").lower(), b or "") for n, b in zip(titles, texts, strict=True)], dtype=object)
+
+    return df.select(F.col(key), tell(title, text).alias("summary"))
 
 
 @dataclass(frozen=True)

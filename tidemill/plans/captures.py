@@ -177,8 +177,8 @@ b AS (SELECT seq, i, sum(CASE WHEN (h >> i::UBIGINT) & 1 = 1 THEN n ELSE -n END)
 v AS (SELECT seq, bit_or(CASE WHEN s >= 0 THEN 1::UBIGINT << i::UBIGINT ELSE 0::UBIGINT END) AS v FROM b GROUP BY seq)
 SELECT d.seq, coalesce(lpad(lower(to_hex(v.v)), 16, '0'), substr(sha256(''), 1, 16)) AS simhash FROM collected_documents d LEFT JOIN v USING (seq)""")
 def simhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash in JVM expressions, on texts as they are."""
-    return finger.simhash_native(_docs(spark, sf_dir).select("seq", "text"), "seq", "text")
+    """SimHash of texts as they are."""
+    return _docs(spark, sf_dir).select("seq", finger.simhash_plain("text").alias("simhash"))
 
 
 @query("titles_from_text")
@@ -259,7 +259,7 @@ _TITLE_HITS = " + ".join(f"(contains(t, '{t}') AND contains(lower(s), '{t}'))::I
 WITH base AS (SELECT seq, lower(coalesce(title, '')) AS t, coalesce(text, '') AS x FROM collected_documents),
 raw AS (SELECT seq, t, unnest(p) AS s, unnest(range(len(p))) AS pos FROM (SELECT seq, t, regexp_extract_all(x, '[^。！？!?\n]+[。！？!?]?') AS p FROM base)),
 cl AS (SELECT seq, t, pos, trim(regexp_replace(s, '{_BLANKS}+', ' ', 'g'), ' ') AS s FROM raw),
-f AS (SELECT seq, regexp_replace(s, '[\p{{P}}\s]+', '', 'g') AS k, min(pos) AS pos, arg_min(s, pos) AS s, any_value(t) AS t FROM cl WHERE length(s) >= 12 GROUP BY ALL),
+f AS (SELECT seq, regexp_replace(s, '({_BLANKS}|[，。！？!?、；;：:])+', '', 'g') AS k, min(pos) AS pos, arg_min(s, pos) AS s, any_value(t) AS t FROM cl WHERE length(s) >= 12 GROUP BY ALL),
 j AS (SELECT seq, s, t, row_number() OVER (PARTITION BY seq ORDER BY pos) - 1 AS j FROM f),
 sc AS (SELECT seq, s, j, greatest(0, 6 - j) + 5 * ({_TITLE_HITS}) + CASE WHEN length(s) BETWEEN 24 AND 90 THEN 3 ELSE 0 END + CASE WHEN regexp_matches(s, '[。！？!?]$') THEN 1 ELSE 0 END AS score FROM j),
 top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY seq ORDER BY score DESC, j) <= 4),
@@ -317,11 +317,11 @@ def known_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.without(slim, table(spark, sf_dir, "catalog").select(F.col("url").alias("canonical_url")), "canonical_url")
 
 
-@query("authors", """
-SELECT source, lower(trim(author, ' ')) AS account, count(*) AS documents FROM collected_documents WHERE author IS NOT NULL GROUP BY ALL""")
+@query("authors")
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each account, however its name is written (DuckDB has no NFKC, so there is no SQL)."""
     return (
-        _docs(spark, sf_dir).where("author is not null").groupBy("source", F.lower(F.trim("author")).alias("account")).agg(F.count("*").alias("documents"))
+        _docs(spark, sf_dir).where("author is not null").groupBy("source", F.lower(F.trim(finger.nfkc("author"))).alias("account")).agg(F.count("*").alias("documents"))
     )
 
 
