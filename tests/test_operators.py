@@ -229,3 +229,36 @@ def test_bare_domains_and_controls(spark):
     lines = ["a\n展开全文\n收起\nb", " 全文\r\na\r\n展开全部 \r", "全文看\n\n\n\nx", ""]
     got = spark.createDataFrame([(t,) for t in lines], "t string").select(text.strip_controls(F.col("t")).alias("x")).collect()
     assert [r.x for r in got] == ["a\n\n\nb".replace("\n\n\n", "\n\n"), "a", "全文看\n\nx", ""]
+
+
+def test_closest_equals_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(21)
+    stock = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(8)]
+    word = lambda: "".join(rng.choice(stock) if rng.random() < 0.5 else "".join(rng.choice("ijklmnop") for _ in range(5)) for _ in range(rng.randrange(1, 7)))
+    records = [(f"r{i:03d}", word()) for i in range(150)] + [("x", "短"), ("y", None), ("z", "aaaaaaaaaaaaaaaaaaaaaaaa")]
+    queries = [(i, word()) for i in range(20)] + [(90, "短文"), (91, "q"), (92, "aaaaaaaaaaaaaaaaaaaa"), (93, None)]
+    got = match.closest(spark.createDataFrame(queries, "seq long, text string"), spark.createDataFrame(records, "topic_id string, text string")).collect()
+    for seq, a in queries:
+        runs = [(-SequenceMatcher(None, a or "", b or "", autojunk=False).find_longest_match().size, i) for i, b in records]
+        want = [(i, -n) for n, i in sorted(runs)[:5] if n < 0]
+        assert [(r.topic_id, r.common) for r in sorted((r for r in got if r.seq == seq), key=lambda r: r["rank"])] == want
+
+
+def test_needles_in_texts(spark):
+    rng = random.Random(22)
+    word = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4E20)) for _ in range(n))
+    records = [(str(i), word(rng.randrange(24, 600))) for i in range(60)]
+    queries = []
+    for k in range(60):
+        i, t = rng.choice(records)
+        a = rng.randrange(max(1, len(t) - 24))
+        queries.append((k, [t[a : a + rng.randrange(20, 300)], word(30) + t[:250] + word(9), word(50)][k % 3]))
+    got = {r.seq: (r.topic_id, r.stage) for r in match.resolve(spark.createDataFrame(queries, "seq long, text string"), spark.createDataFrame(records, "topic_id string, text string")).collect()}
+    for k, q in queries:
+        equal = {i for i, t in records if t[:24] == q[:24]}
+        short = {i for i, t in records if (len(q) < 24 and t[:24].startswith(q))}
+        inside = {i for i, t in records if len(q) >= 24 and (q[:240] in t or t[:240] in q)}
+        hits, stage = (equal, "equal") if equal else (short, "prefix") if short else (inside, "inside")
+        assert got.get(k) == ((min(hits), stage) if len(hits) == 1 else None)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import codepoints as C
 from tidemill.functions.text import match_key
 from tidemill.session import cut
 
@@ -23,8 +24,7 @@ def resolve(queries: DataFrame, records: DataFrame) -> DataFrame:
     queries: (seq, text); records: (topic_id, text). Three stages, each only for what the one before left:
     equal 24-character keys; one text a prefix of the other (short texts); the opening of one inside the
     other. A stage that finds several ids ends the search without an answer. Containment is not tested
-    for all pairs: a needle's first 24 characters must stand in the haystack, so haystacks give their
-    24-character windows and the test is an equi-join followed by the exact comparison.
+    for all pairs, see :func:`_holders`.
     """
     q = cut(queries.select("seq", match_key(F.col("text"), HAYSTACK).alias("h")).where("h <> ''"))
     r = cut(records.select("topic_id", match_key(F.col("text"), HAYSTACK).alias("h")).where("h <> ''").distinct())
@@ -44,35 +44,127 @@ def resolve(queries: DataFrame, records: DataFrame) -> DataFrame:
     prefix = cut(answer(short_q.join(longer_r, "key").select("seq", "topic_id").unionAll(longer_q.join(short_r, "key").select("seq", "topic_id")), "prefix"))
     rest = left.join(prefix, "seq", "left_anti").where(F.length("h") >= KEY)
 
-    def windows(df: DataFrame, key: str) -> DataFrame:
-        at = F.explode(F.sequence(F.lit(1), F.length("h") - KEY + 1))
-        return df.where(F.length("h") >= KEY).select(key, "h", at.alias("n")).select(key, "h", F.expr(f"substring(h, n, {KEY})").alias("w"))
-
-    def needles(df: DataFrame, key: str) -> DataFrame:
-        return df.where(F.length("h") >= KEY).select(F.col(key), F.substring("h", 1, NEEDLE).alias("needle"), F.substring("h", 1, KEY).alias("w"))
-
-    q_in_r = windows(r, "topic_id").join(needles(rest, "seq"), "w").where(F.contains("h", F.col("needle"))).select("seq", "topic_id")
-    r_in_q = windows(rest, "seq").join(needles(r, "topic_id"), "w").where(F.contains("h", F.col("needle"))).select("seq", "topic_id")
-    inside = answer(q_in_r.unionAll(r_in_q), "inside")
+    long_r = r.where(F.length("h") >= KEY)
+    both = cut(_holders(rest, "seq", long_r, "topic_id")).unionByName(cut(_holders(long_r, "topic_id", rest, "seq")))
+    inside = answer(both, "inside")
     return equal.unionAll(prefix).unionAll(inside).where("topic_id is not null")
 
 
-def closest(queries: DataFrame, records: DataFrame, most: int = 5, grams: int = 8) -> DataFrame:
-    """``(seq, topic_id, common, rank)``: records sharing the longest common run with a query's first 240 characters.
+def _holders(short: DataFrame, key: str, long: DataFrame, other: str) -> DataFrame:
+    """``(key, other)``: whose text ``h`` holds the first ``NEEDLE`` characters of whose.
 
-    Candidates share a run of ``grams`` characters (an equi-join on windows); the longest run is then exact.
+    A text that holds a needle holds all its seeds, so each needle is looked up by the one that the fewest texts hold.
+    Only ids and seed hashes are exchanged; texts are joined to the pairs that are left.
     """
-    q = queries.select("seq", match_key(F.col("text"), NEEDLE).alias("a")).where(F.length("a") >= grams)
-    r = records.select("topic_id", match_key(F.col("text"), NEEDLE).alias("b")).where(F.length("b") >= grams)
-    cutw = lambda df, key, c: df.select(key, c, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - grams + 1), lambda i: F.substring(F.col(c), i, F.lit(grams))))).alias("w"))
-    pairs = cutw(q, "seq", "a").join(cutw(r, "topic_id", "b"), "w").groupBy("seq", "topic_id").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    needles = short.select(key, F.substring("h", 1, NEEDLE).alias("needle"))
+    held = _seeds(long.select(F.col(other).cast("string").alias("id"), "h")).select(F.col("id").alias("_other"), "seed")
+    asked = _seeds(needles.select(F.col(key).cast("string").alias("id"), F.col("needle").alias("h")))
+    often = held.groupBy("seed").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "seed", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "seed")).alias("s"))
+    pairs = rarest.where("s.n > 0").select(F.col("id").alias("_key"), "s.seed").join(held, "seed").select("_key", "_other")
+    texts = long.select(F.col(other).cast("string").alias("_other"), other, "h")
+    found = pairs.join(needles.select(F.col(key).cast("string").alias("_key"), key, "needle"), "_key").join(texts, "_other")
+    return found.where(F.contains("h", F.col("needle"))).select("seq", "topic_id")
+
+
+SEED = 16  # characters of a seed; every 24 characters hold the least of their nine seeds
+
+
+def _seeds(texts: DataFrame) -> DataFrame:
+    """``(id, seed)``: hashes of the least seed in each window of ``KEY`` characters (winnowing), without repeats. texts: (id, h)."""
+    width = KEY - SEED + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            n = [SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size for a, b in zip(x["a"], x["b"], strict=True)]
-            yield pd.DataFrame({"seq": x["seq"], "topic_id": x["topic_id"], "common": n})
+        for b in batches:
+            cp, starts, ends = C.spans(C.to_array(C.join(b["h"].tolist())))
+            if len(cp) < KEY:
+                continue
+            h = C.window_hashes(cp, SEED)
+            least = np.lib.stride_tricks.sliding_window_view(h, width).min(axis=1)
+            own = C.owners(starts, ends, KEY, len(cp))
+            got = pd.DataFrame({"o": own, "seed": least.view(np.int64)})[own >= 0].drop_duplicates()
+            yield pd.DataFrame({"id": b["id"].to_numpy()[got["o"].to_numpy()], "seed": got["seed"].to_numpy()})
+
+    return texts.mapInPandas(run, "id string, seed bigint")
+
+
+def longest_runs(a: str, texts: list[str]) -> np.ndarray:
+    """Length of the longest run that ``a`` shares with each text; all texts at once."""
+    if not a or not texts:
+        return np.zeros(len(texts), np.int32)
+    width = max(map(len, texts))
+    table = np.zeros((len(texts), width + 1), np.uint32)  # column 0 and the space behind a text match nothing
+    for i, t in enumerate(texts):
+        table[i, 1 : len(t) + 1] = C.to_array(t)
+    run, best = np.zeros((len(texts), width + 1), np.int32), np.zeros(len(texts), np.int32)
+    for c in C.to_array(a):
+        run[:, 1:] = np.where(table[:, 1:] == c, run[:, :-1] + 1, 0)
+        np.maximum(best, run.max(axis=1), out=best)
+    return best
+
+
+FIRST = 20  # records of a query that are compared first
+BLOCK = 2_000  # records compared at once where windows don't tell
+TOP = "seq bigint, topic_id string, common int"
+
+
+def closest(queries: DataFrame, records: DataFrame, most: int = 5, grams: int = 8, needle: int = NEEDLE) -> DataFrame:
+    """``(seq, topic_id, common, rank)``: records sharing the longest common run with a query's first ``needle`` characters.
+
+    Records that share ``grams`` characters come from an equi-join on window hashes. A query with ``most`` of them has its
+    answer there, as all others share less; the rest is compared with all records in blocks. A run can't be longer than the
+    number of shared windows allows, so after the ``FIRST`` records with most of them only those are compared that could still
+    be better. Only ids and hashes are exchanged for the join, and every task keeps the ``most`` best of each query. Ties by id;
+    a record without a common character has no row.
+    """
+    q = cut(queries.select("seq", match_key(F.col("text"), needle).alias("a")).where("a <> ''"))
+    r = cut(records.select("topic_id", match_key(F.col("text"), needle).alias("b")).where("b <> ''"))
+
+    def windows(df: DataFrame, key: str, c: str, repeats: bool) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                cp, starts, ends = C.spans(C.to_array(C.join(b["h"].tolist())))
+                own = C.owners(starts, ends, grams, len(cp))
+                got = pd.DataFrame({"o": own, "w": C.window_hashes(cp, grams).view(np.int64)})[own >= 0]
+                got = got if repeats else got.drop_duplicates()
+                yield pd.DataFrame({"id": b["id"].to_numpy()[got["o"].to_numpy()], "w": got["w"].to_numpy()})
+
+        return df.select(F.col(key).cast("string").alias("id"), F.col(c).alias("h")).mapInPandas(run, "id string, w bigint").withColumnRenamed("id", key)
+
+    shared = windows(q, "seq", "a", True).join(windows(r, "topic_id", "b", False), "w").groupBy(F.col("seq").cast("bigint").alias("seq"), "topic_id")
+    pairs = cut(shared.agg(F.count("*").alias("n")))
 
-    scored = pairs.mapInPandas(run, "seq bigint, topic_id string, common int")
+    def best(x: pd.DataFrame) -> pd.DataFrame:
+        return x.sort_values(["seq", "common", "topic_id"], ascending=[True, False, True]).groupby("seq").head(most)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            parts = [g.assign(common=longest_runs(a, g["b"].tolist())) for a, g in x.groupby("a", sort=False)]
+            if parts:
+                yield best(pd.concat(parts)[["seq", "topic_id", "common"]])
+
+    scored_pairs = lambda p: p.join(q, "seq").join(r, "topic_id").select("seq", "topic_id", "a", "b").mapInPandas(score, TOP)
+    rank = F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("n"), "topic_id"))  # Spark cuts such ranks before the exchange as well
+    first = cut(pairs.withColumn("rank", rank).where(F.col("rank") <= FIRST).select("seq", "topic_id"))
+    near = cut(scored_pairs(first))
+    bound = near.groupBy("seq").agg(F.try_element_at(F.sort_array(F.collect_list("common"), asc=False), F.lit(most)).alias("bound"))  # FIRST numbers at most
+    open_ = pairs.join(bound, "seq").where(F.col("bound").isNull() | (F.col("n") + grams - 1 >= F.col("bound"))).join(first, ["seq", "topic_id"], "left_anti")
+    near = near.unionByName(cut(scored_pairs(open_)))
+    # an answer counts if it is surely among the best: it shares a window, and there are enough of them
+    enough = pairs.groupBy("seq").agg(F.count("*").alias("of")).where(F.col("of") >= most).select("seq")
+    left = cut(q.join(enough, "seq", "left_anti"))
+    blocks = max(1, -(-r.count() // BLOCK))
+    parts = max(1, -(-left.count() // BLOCK))
+    mine = left.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    theirs = r.withColumn("block", F.pmod(F.xxhash64("topic_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [best(pd.DataFrame({"seq": seq, "topic_id": y["topic_id"].to_numpy(object), "common": longest_runs(a, y["b"].tolist())})) for seq, a in zip(x["seq"], x["a"], strict=True)]
+        return pd.concat(out) if out else pd.DataFrame({"seq": [], "topic_id": [], "common": []})
+
+    keys = ["part", "block"]
+    rest = mine.withColumn("part", F.col("part").cast("int")).groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(compare, TOP)
+    scored = near.join(left.select("seq"), "seq", "left_anti").unionByName(rest).where("common > 0")
     top = scored.groupBy("seq").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("common")).alias("n"), "topic_id"))), 1, most).alias("t"))
     each = top.select("seq", F.posexplode("t").alias("rank", "x"))
     return each.select("seq", F.col("x.topic_id").alias("topic_id"), (-F.col("x.n")).alias("common"), (F.col("rank") + 1).alias("rank"))
@@ -95,8 +187,11 @@ def _parts(value: object, depth: int = 0) -> Iterator[str]:
                 yield from _parts(value[k], depth + 1)
 
 
-def harvest(body: str | None, most: int = 400, nodes: int = 5000) -> list[dict]:
-    """Objects with a numeric topic id anywhere in a JSON text, breadth first, with their text parts."""
+def harvest(body: str | None, most: int = 400, nodes: int = 5000, parts_of: int = 9, keys_of: int = 24) -> list[dict]:
+    """Objects with a numeric topic id anywhere in a JSON text, breadth first, with their text parts and whole text.
+
+    The limits are the fixed ones of such walks; pass others to keep more.
+    """
     try:
         root = json.loads(body or "")
     except ValueError:
@@ -108,10 +203,10 @@ def harvest(body: str | None, most: int = 400, nodes: int = 5000) -> list[dict]:
         if isinstance(n, dict):
             ident = n.get("topic_id", n.get("topicId"))
             if ident is not None and str(ident).isdigit():
-                parts = list(_parts(n))[:9]
+                parts = list(_parts(n))[:parts_of]
                 text = "\n".join(parts)
                 if text.strip():
-                    out.append({"topic_id": str(ident), "text": text[:HAYSTACK], "parts": parts, "keys": list(n)[:24]})
+                    out.append({"topic_id": str(ident), "text": text, "parts": parts, "keys": list(n)[:keys_of]})
             queue.extend(v for v in n.values() if isinstance(v, dict | list))
         elif isinstance(n, list):
             queue.extend(v for v in n if isinstance(v, dict | list))
