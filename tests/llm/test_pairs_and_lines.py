@@ -46,6 +46,38 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(docs)
 
 
+def test_copies_are_split_and_classes_connect(spark, monkeypatch):
+    rng = random.Random(18)
+    base = "".join(chr(rng.randrange(0x4E00, 0x7E00)) for _ in range(400))
+    near, far = edited(rng, base, 9), "".join(chr(rng.randrange(0x4E00, 0x7E00)) for _ in range(400))
+    docs = [(k, base) for k in range(40)] + [(100 + k, near) for k in range(25)] + [(200, far), (201, "短"), (202, None)]
+    df = spark.createDataFrame([(k, "s", None, t, "x", 1, "y") for k, t in docs], DOC)
+    members, links = neardup.near_duplicates(df)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    got = [tuple(r) for r in neardup.row_pairs(members, links).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(docs)
+    told = {r.id: (r.class_id, r.links) for r in neardup.classes(members, links).collect()}
+    assert told == {**{k: (0, 1) for k, t in docs if t in (base, near)}, 200: (200, 0)}
+
+
+def test_components_equal_a_plain_search(spark):
+    rng = random.Random(19)
+    links = [(i, i + 1) for i in range(100, 160)] + [tuple(sorted(rng.sample(range(60), 2))) for _ in range(45)] + [(200, 200 + k) for k in range(1, 20)]
+    root = {x: x for e in links for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    got = [tuple(r) for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert len(got) == len(root) and dict(got) == {x: top(x) for x in root}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_hot_anchor_is_split_without_loss(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     rng = random.Random(4)

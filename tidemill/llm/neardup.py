@@ -37,7 +37,7 @@ BLOCK = 2048
 SKETCH_LIMIT = 70  # of 256 bits; similarity 0.6 has 51 +- 6.4, 0.3 has 90 +- 7.6, unrelated texts 128 +- 8
 WORDS = BINS // 64
 SKETCH = [f"s{i}" for i in range(WORDS)]
-HELD = 500_000  # most ids that are broadcast (4 MB); beyond that they are joined by exchange
+HELD = 500_000  # most ids that are broadcast (4 MB), so that texts need not be exchanged to be chosen; more are joined by exchange
 BIN_BITS = BINS.bit_length() - 1
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _U = np.uint64
@@ -252,18 +252,72 @@ def near_duplicates(
     return whole, links
 
 
+def components(links: DataFrame) -> DataFrame:
+    """``(id, root)`` of every id in a link ``(a, b)``: the least id that it is connected with.
+
+    Large-star and small-star rounds (each an aggregate and a join on ids), so the number of rounds grows with the
+    logarithm of the longest chain, and an id with many links is a partial aggregate.
+    """
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    while True:
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
+        small = cut(small)
+        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
+            return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root").union(edges.select("v", "v").distinct())
+        edges = small
+
+
+def classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, class_id, links)``: one row per text that may be compared: the least id of its class, and its links to other texts.
+
+    Copies share the links of their text; the links of a text are those to different texts. A class without links is
+    one text with its copies.
+    """
+    ends = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep")))
+    degree = ends.groupBy("rep").agg(F.count("*").alias("links"))
+    of_class = components(links).withColumnRenamed("id", "rep")
+    joined = members.join(degree, "rep", "left").join(of_class, "rep", "left")
+    return joined.select("id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def row_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs of rows: copies of one text with each other, and copies across linked texts."""
-    copied = members.where("id <> rep").select("rep").distinct()
-    several = members.join(copied, "rep", "left_semi")
-    same = several.alias("x").join(several.alias("y"), "rep").where("x.id < y.id").select(F.col("x.id").alias("seq_a"), F.col("y.id").alias("seq_b"))
-    a = links.select("a", "b").join(several.select(F.col("rep").alias("a"), F.col("id").alias("ida")), "a", "left")
-    ab = a.join(several.select(F.col("rep").alias("b"), F.col("id").alias("idb")), "b", "left")
-    x, y = F.coalesce("ida", "a"), F.coalesce("idb", "b")
-    return same.unionAll(ab.select(F.least(x, y).alias("seq_a"), F.greatest(x, y).alias("seq_b")))
+    """All pairs of rows: copies of one text with each other, and copies across linked texts.
+
+    A text with more than ``BLOCK`` copies is split into blocks of copies; each pair of blocks is a group of its own, so no task
+    writes all pairs of a text. (The number of pairs is what the definition asks for; :func:`classes` says the same in one row per text.)
+    """
+    size = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
+    several = members.join(size, "rep").select("rep", "id", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    several = several.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = several.select("rep", F.col("id").alias("x"), F.col("block").alias("i"), every.alias("j"))
+    y = several.select("rep", F.col("id").alias("y"), F.col("block").alias("j"), every.alias("i"))
+    same = x.join(y, ["rep", "i", "j"]).where("x < y").select(F.col("x").alias("seq_a"), F.col("y").alias("seq_b"))
+    # links of copied texts are spread by the blocks of both sides
+    copies = several.select("rep", "id", "block")
+    blocks = several.select("rep", "blocks").distinct()
+    a = links.select("a", "b").join(blocks.select(F.col("rep").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")), "a", "left")
+    a = a.join(copies.select(F.col("rep").alias("a"), F.col("block").alias("i"), F.col("id").alias("ida")), ["a", "i"], "left")
+    b = a.select("b", F.coalesce("ida", "a").alias("x")).join(blocks.select(F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")), "b", "left")
+    ab = b.join(copies.select(F.col("rep").alias("b"), F.col("block").alias("j"), F.col("id").alias("idb")), ["b", "j"], "left")
+    y = F.coalesce("idb", "b")
+    return same.unionAll(ab.select(F.least("x", y).alias("seq_a"), F.greatest("x", y).alias("seq_b")))
+
+
+def _captures(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/collected_documents.parquet").select("seq", "text")
 
 
 def found(spark, sf_dir: str) -> DataFrame:
     """Query p2_found: all row pairs of collected_documents with 5-character similarity of 0.6 or more."""
-    docs = spark.read.parquet(f"{sf_dir}/collected_documents.parquet").select("seq", "text")
-    return row_pairs(*near_duplicates(docs))
+    return row_pairs(*near_duplicates(_captures(spark, sf_dir)))
+
+
+def groups(spark, sf_dir: str) -> DataFrame:
+    """Query p2_classes: each row with the class it belongs to and its number of links."""
+    return classes(*near_duplicates(_captures(spark, sf_dir))).select(F.col("id").alias("seq"), "class_id", "links")

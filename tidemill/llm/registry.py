@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_sources": truncation.shares,
         "p1_limits": truncation.limits,
         "p2_found": neardup.found,
+        "p2_classes": neardup.groups,
         "p3_found": sitelines.found,
         "p3_clean": sitelines.cleaned,
         "p5_found": batchdedup.found,
