@@ -262,3 +262,22 @@ def test_needles_in_texts(spark):
         inside = {i for i, t in records if len(q) >= 24 and (q[:240] in t or t[:240] in q)}
         hits, stage = (equal, "equal") if equal else (short, "prefix") if short else (inside, "inside")
         assert got.get(k) == ((min(hits), stage) if len(hits) == 1 else None)
+
+
+def test_popular_content_keeps_few_versions(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "SPAN", 16)
+    rng = random.Random(23)
+    rows = [(s, f"i{rng.randrange(400):03d}", rng.choice(["hot", "hot", "hot", f"c{s % 7}", None]), None) for s in range(600)]
+    df = spark.createDataFrame(rows, "seq long, id string, ch string, fp long")
+    seen, held, want = set(), {}, {}
+    for s, i, ch, _ in rows:
+        if i not in seen and ch is not None:
+            like = [o for o, c in held.items() if c == ch]
+            if like:
+                want[i] = min(like)
+        seen.add(i)
+        held[i] = ch
+    assert {r.id: r.parent for r in cluster.parents(df).collect()} == want
+    every = cluster.versions(df)
+    kept = cluster.least_so_far(every).where("ch = 'hot' and until is null").count()
+    assert kept < 0.2 * every.where("ch = 'hot' and until is null").count()

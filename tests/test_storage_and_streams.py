@@ -43,6 +43,30 @@ def test_versioned_table(spark, tmp_path):
     assert sorted(map(tuple, t.read().collect())) == [("a", 2, "p1"), ("b", 1, "p2")]
 
 
+def test_upsert_rewrites_touched_buckets_and_survives_a_crash(spark, tmp_path, monkeypatch):
+    t = store.VersionedTable(spark, str(tmp_path / "t"), "k string, v int", ["k"], buckets=8)
+    rows = lambda n, v: spark.createDataFrame([(f"k{i}", v) for i in n], "k string, v int")
+    t.upsert(rows(range(40), 0), 0)
+    before = t._current()["folders"]
+    commit = store.VersionedTable._commit
+    for batch, n in ((1, [3]), (2, [3, 17, 99]), (3, [])):
+        def die(self, *_):
+            raise OSError("killed")
+
+        monkeypatch.setattr(store.VersionedTable, "_commit", die)
+        with pytest.raises(OSError):
+            t.upsert(rows(n, batch), batch)
+        assert len(t.read().collect()) == (41 if batch > 2 else 40)
+        monkeypatch.setattr(store.VersionedTable, "_commit", commit)
+        assert t.upsert(rows(n, batch), batch) and not t.upsert(rows(n, batch), batch)
+        changed = {b for b, f in t._current()["folders"].items() if before.get(b) != f}
+        assert len(changed) <= len(n)
+        before = t._current()["folders"]
+    want = {f"k{i}": 0 for i in range(40)} | {"k3": 2, "k17": 2, "k99": 2}
+    assert {r.k: r.v for r in t.read().collect()} == want
+    assert t.vacuum() and not t.vacuum() and {r.k: r.v for r in t.read().collect()} == want
+
+
 def write(path, name, events):
     (path / name).write_text("\n".join(json.dumps(dict(zip(("job_id", "seq", "event"), e, strict=True))) for e in events))
 

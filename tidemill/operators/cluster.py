@@ -3,8 +3,8 @@
 An entry's parent depends on earlier fingerprints only, never on earlier labels, so the order-dependent
 clustering is a join: equal content hash first (least id), else the nearest fingerprint within the
 radius (then least id). Fingerprints within radius r agree in at least one of r + 1 bands, so for a small
-radius candidates come from an equi-join on bands; equal fingerprints collapse to one row per value first,
-which keeps hot values from multiplying. With a large radius bands are so narrow that they prune nothing:
+radius candidates come from an equi-join on bands of distinct values. Of the entries with one content only those
+are joined that can be the least id at some moment, so a popular content stays linear. With a large radius bands are so narrow that they prune nothing:
 then salted blocks of sightings are compared pair by pair, and each block pair gives one best row per
 sighting, so no pairs are kept. Roots follow by pointer doubling.
 """
@@ -49,6 +49,26 @@ def versions(events: DataFrame) -> DataFrame:
     return events.select("seq", "id", "ch", "fp", F.lead("seq").over(w).alias("until"))
 
 
+SPAN = 65_536  # numbers of a stretch of arrivals
+
+
+def least_so_far(every: DataFrame) -> DataFrame:
+    """The versions ``(ch, other_id, since, until)`` that can be the least id with their content at some moment.
+
+    Of versions that hold for good only those count whose id is below all such ids before them: a handful, however
+    many entries share the content. The running minimum is taken over stretches of arrivals first, so no content is one task.
+    Versions that were replaced are kept all.
+    """
+    v = every.where("ch is not null").select("ch", F.col("id").alias("other_id"), F.col("seq").alias("since"), "until")
+    lasting = v.where("until is null").withColumn("stretch", F.floor(F.col("since") / SPAN))
+    tops = lasting.groupBy("ch", "stretch").agg(F.min("other_id").alias("least"))
+    before = Window.partitionBy("ch").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("ch", "stretch", F.min("least").over(before).alias("least_before"))
+    inside = Window.partitionBy("ch", "stretch").orderBy("since").rowsBetween(Window.unboundedPreceding, -1)
+    low = lasting.join(tops, ["ch", "stretch"]).withColumn("so_far", F.least(F.min("other_id").over(inside), F.col("least_before")))  # least leaves nulls out
+    return low.where(F.col("so_far").isNull() | (F.col("other_id") < F.col("so_far"))).select(*v.columns).unionByName(v.where("until is not null"))
+
+
 def nearest_in_block(seq: np.ndarray, fp: np.ndarray, ids: np.ndarray, other: np.ndarray, since: np.ndarray, until: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Least distance and then least id of the versions that hold at each ``seq``; 255 and None where none is in the radius."""
     best, parent = np.full(len(seq), 255, np.int32), np.full(len(seq), None, object)
@@ -117,7 +137,7 @@ def parents(events: DataFrame, radius: int = 3) -> DataFrame:
     other = every.select("ch", F.col("fp").alias("other"), F.col("id").alias("other_id"), F.col("seq").alias("since"), "until")
     live = (F.col("other_id") != F.col("id")) & (F.col("since") < F.col("seq")) & (F.col("until").isNull() | (F.col("seq") < F.col("until")))
     exact = (
-        first.where("ch is not null").select("id", "seq", "ch").join(other.select("ch", "other_id", "since", "until"), "ch")
+        first.where("ch is not null").select("id", "seq", "ch").join(least_so_far(every), "ch")
         .where(live).groupBy("id").agg(F.min("other_id").alias("parent"))
     )
     left = first.where("fp is not null").join(exact.select("id"), "id", "left_anti").select("id", "seq", "fp")
