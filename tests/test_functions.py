@@ -118,3 +118,17 @@ def test_fallback_needs_a_clear_winner():
     body = "<p>" + "words in a row " * 20 + "</p>"
     assert html.main_block(html.parse(f"<div>{body}</div>")) is not None
     assert html.main_block(html.parse(f"<section>{body}</section><section>{body}</section>")) is None
+
+
+@pytest.mark.parametrize(
+    ("a", "public"),
+    [("2606:4700::1111", True), ("::1", False), ("::", False), ("fc00::1", False), ("fe80::1%eth0", False), ("ff02::1", False), ("2001:db8::1", False), ("::ffff:10.0.0.1", False),
+     ("::ffff:8.8.8.8", True), ("[2606:4700::1]", True), ("8.8.8.8", None), ("1::2::3", None), (None, None)],
+)
+def test_ipv6(spark, a, public):
+    assert column(spark, a, urls.ipv6_public) == public
+
+
+def test_created_time(spark):
+    assert column(spark, "2024-05-06T07:08:09Z", lambda c: urls.created_time(c).cast("long")) == 1714979289
+    assert column(spark, "05-06 07:08", urls.created_time) is None and column(spark, "not 2024", urls.created_time) is None

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 @dataclass(frozen=True)
@@ -110,7 +112,40 @@ def ipv4_public(address: Column) -> Column:
     valid = address.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$") & (F.greatest(*p) <= 255)
     reserved = (
         a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19))
+        | ((a == 192) & (b == 168)) | ((a == 192) & (b == 88) & (c == 99)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19))
         | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
     )
     return F.when(valid, ~reserved)
+
+
+def _public6(address: str | None) -> bool | None:
+    from ipaddress import IPv4Address, IPv6Address
+
+    try:
+        a = IPv6Address((address or "").strip("[]").split("%")[0])
+    except ValueError:
+        return None
+    n = int(a)
+    if n >> 32 in (0, 0xFFFF) and n > 1:  # a written-out or mapped IPv4 address is judged as such
+        return bool(_public4(str(IPv4Address(n & 0xFFFFFFFF))))
+    first = n >> 112
+    return not (n <= 1 or first & 0xFE00 == 0xFC00 or first & 0xFFC0 in (0xFE80, 0xFEC0) or first & 0xFF00 == 0xFF00 or n >> 96 == 0x20010DB8)
+
+
+def _public4(address: str) -> bool:
+    a, b, c, _ = map(int, address.split("."))
+    return not (
+        a in (0, 10, 127) or a >= 224 or (a == 100 and 64 <= b <= 127) or (a, b) in ((169, 254), (192, 168), (198, 18), (198, 19)) or (a == 172 and 16 <= b <= 31)
+        or (a, b, c) in ((192, 0, 0), (192, 0, 2), (192, 88, 99), (198, 51, 100), (203, 0, 113))
+    )
+
+
+@F.pandas_udf(BooleanType())
+def ipv6_public(addresses: pd.Series) -> pd.Series:
+    """Whether an IPv6 address is public: false for reserved ranges and mapped reserved IPv4, null for anything else than an IPv6 address."""
+    return pd.Series([_public6(a) for a in addresses], dtype=object)
+
+
+def created_time(c: Column) -> Column:
+    """A time as an API writes it; one without a year of four digits is no time."""
+    return F.when(c.rlike("(?:19|20)[0-9]{2}"), F.try_to_timestamp(c))

@@ -57,3 +57,24 @@ def due(state: DataFrame, now: Column, interval_seconds: Column, retry_seconds:
     wait = F.when(F.col("last_error").isNotNull(), F.lit(retry_seconds)).otherwise(interval_seconds)
     at = F.timestamp_micros(F.unix_micros("last_attempt") + wait.cast("long") * 1_000_000)
     return state.withColumn("next_due", at).withColumn("is_due", F.col("last_attempt").isNull() | (F.col("next_due") <= now))
+
+
+def recovered(states: DataFrame, under_way: Sequence[str] = ("dispatched", "collecting"), start: str = "queued") -> DataFrame:
+    """States after a restart: jobs that were under way begin again. states: (job_id, state, ...)."""
+    hit = F.coalesce(F.col("state").isin(*under_way), F.lit(False))
+    return states.withColumn("recovered", hit).withColumn("state", F.when(hit, start).otherwise(F.col("state")))
+
+
+def phase(found: Column, collected: Column, failed: Column, skipped: Column, rounds: Column, most_rounds: int, most_items: int) -> Column:
+    """How a run of rounds ended, from its counts: nothing seen, only failures, only skips, limits reached, or done."""
+    nothing = collected == 0
+    return (
+        F.when(found == 0, "empty").when(nothing & (failed > 0), "failed").when(nothing & (skipped > 0), "skipped_all")
+        .when((rounds >= most_rounds) & (collected >= most_items), "capped").otherwise("done")
+    )
+
+
+def records(runs: DataFrame) -> DataFrame:
+    """``(source, last_attempt, last_success, last_error)`` after each source's last run. runs: (source, seq, at, error)."""
+    last = runs.groupBy("source").agg(F.max_by(F.struct("at", "error"), "seq").alias("l"))
+    return last.select("source", F.col("l.at").alias("last_attempt"), F.when(F.col("l.error").isNull(), F.col("l.at")).alias("last_success"), F.col("l.error").alias("last_error"))

@@ -54,10 +54,9 @@ def running_limit(df: DataFrame, order: Sequence[str], counted: str, most: int)
 
     The limit is found from the ``most`` first counted rows, a top-k, so nothing is sorted in one task.
     """
-    last = df.where(F.col(counted)).orderBy(*order).limit(most).agg(F.max(F.struct(*order)).alias("at"), F.count("*").alias("n")).head()
-    if last["n"] < most:
-        return df
-    return df.where(F.struct(*order) <= F.struct(*(F.lit(v) for v in last["at"])))
+    first = df.where(F.col(counted)).orderBy(*order).limit(most)
+    bound = first.agg(F.when(F.count("*") == most, F.max(F.struct(*order)))).scalar()
+    return df.where(bound.isNull() | (F.struct(*order) <= bound))
 
 
 def quarantine(df: DataFrame, rules: Sequence[tuple[str, str, Column]]) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators import keyed
+
 STORE = "markdown"  # the sink every entry goes to before any other
 
 
@@ -76,3 +78,36 @@ def front_matter(fields: Sequence[tuple[str, Column]]) -> Column:
     # json of a one-field struct is {"v":...}: cut the frame, so that quoting is JSON's
     lines = [F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{"v":|\}$', ""))) for name, c in fields]
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))
+
+
+def deleted(catalog: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Remaining rows, and ``(id, source, relativePath, outcome)`` of the chosen ones; no ids delete nothing.
+
+    A chosen row always leaves the catalog. Its folder is ``deleted`` if the path stays below the root; a path that is
+    absent, absolute or climbs out is ``missing``, and nothing is to be removed for it.
+    """
+    path = F.col("relativePath")
+    outside = path.isNull() | (path == "") | path.startswith("/") | path.rlike(r"(^|/)\.\.(/|$)")
+    chosen = keyed.selected(catalog, ids, "id")
+    outcome = F.when(outside, "missing").otherwise("deleted")
+    return keyed.without(catalog, ids, "id"), chosen.select("id", "source", "relativePath", outcome.alias("outcome"))
+
+
+#: What a failed delivery says, first match wins.
+FAILURES = (
+    ("(?i)xcrun|CommandLineTools|xcode-select", "toolchain"), ("(?i)unmerged files|MERGE_HEAD|you have not concluded your merge|unresolved conflict", "merge"),
+    ("(?i)not a git repository", "repository"), (r"(?i)Please tell me who you are|user\.email", "identity"),
+    (r"(?i)could not read Username|Authentication failed|Permission denied \(publickey\)", "credentials"),
+    ("(?i)no upstream|does not appear to be a git repository|couldn't find remote", "remote"), ("(?i)non-fast-forward|rejected|fetch first|behind", "behind"),
+)
+
+
+def repository_reason(now: Column, host: str = "https://github.example/", days: int = 365) -> Column:
+    """Why a found repository is dropped, or ``kept``: columns id, fullName, htmlUrl, owner, updatedAt."""
+    updated = F.try_to_timestamp("updatedAt")
+    same = F.lower("htmlUrl") == F.lower(F.concat(F.lit(host), "fullName"))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return (
+        F.when(F.col("id").isNull(), "no id").when(no(F.col("fullName").rlike("^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$")), "name").when(no(same), "address")
+        .when(F.coalesce("owner", F.lit("")) == "", "owner").when(updated.isNull(), "time").when(updated < now - F.make_dt_interval(F.lit(days)), "old").otherwise("kept")
+    )

@@ -226,3 +226,21 @@ def harvested(payloads: DataFrame, key: str = "seq", body: str = "body") -> Data
     )
     best = each.groupBy("topic_id").agg(F.max_by(F.struct("seq", "text", "parts", "keys"), F.struct(F.length("text"), -F.col("seq"), -F.col("pos"))).alias("r"))
     return best.select("topic_id", "r.seq", "r.text", "r.parts", "r.keys")
+
+
+def enriched(docs: DataFrame, articles: DataFrame) -> DataFrame:
+    """Documents with the text of the article they link to, if it was obtained and is the longer one.
+
+    docs: (link, text, ...); articles: (link, article), one row per link. ``truncated`` is true where a link leads to no
+    article; a shorter article leaves the text as it is.
+    """
+    longer = F.length("article") > F.length("text")
+    joined = docs.join(articles, "link", "left").withColumn("truncated", F.col("link").isNotNull() & F.col("article").isNull())
+    return joined.withColumn("text", F.when(longer, F.concat("text", F.lit("\n\n"), "article")).otherwise(F.col("text"))).drop("article")
+
+
+def text_index(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """``(key, topic_id, whole)``: the last writer of each key (seq); keys of whole texts come before keys of parts. Empty keys have no row."""
+    rows = whole.withColumn("whole", F.lit(True)).unionByName(part.withColumn("whole", F.lit(False))).where("key <> ''")
+    best = rows.groupBy("key").agg(F.max_by(F.struct("topic_id", "whole"), F.struct("whole", "seq")).alias("b"))
+    return best.select("key", "b.topic_id", "b.whole")

@@ -117,6 +117,22 @@ def document_rules() -> list:
         ("suggestedTags", "more than 20", F.col("suggestedTags").isNull() | (F.size("suggestedTags") <= 20)),
         ("source", "does not fit the address", site == F.col("source")),
         ("canonicalUrl", "is not the canonical address", F.col("canonicalUrl") == urls.canonical(F.col("url"), site=site)),
+        ("schemaVersion", "must be 1", F.col("schemaVersion") == 1),
+        ("html", "missing or too long", F.length("html") <= 10_000_000),
+        ("text", "missing or too long", F.length("text") <= 5_000_000),
+        ("images.url", "not an address", F.coalesce(F.forall("images", lambda i: F.coalesce(F.length(i["url"]) <= 4096, F.lit(False))), F.lit(True))),
+        ("images.alt", "too long", F.coalesce(F.forall("images", lambda i: i["alt"].isNull() | (size(i["alt"]) <= 500)), F.lit(True))),
+        ("questioner", "too long", optional("questioner", 200)),
+        ("suggestedCategory", "too long", optional("suggestedCategory", 100)),
+        ("userCategory", "too long", optional("userCategory", 100)),
+        ("userTags", "more than 20", F.col("userTags").isNull() | (F.size("userTags") <= 20)),
+        ("suggestedTags", "must have 1 to 50 characters", F.coalesce(F.forall("suggestedTags", lambda t: F.coalesce(size(t).between(1, 50), F.lit(False))), F.lit(True))),
+        ("userTags", "must have 1 to 50 characters", F.coalesce(F.forall("userTags", lambda t: F.coalesce(size(t).between(1, 50), F.lit(False))), F.lit(True))),
+        ("candidate.qualityScore", "must be 0 to 100", F.col("candidate.qualityScore").isNull() | F.col("candidate.qualityScore").between(0, 100)),
+        ("candidate.projectScore", "must be 0 to 100", F.col("candidate.projectScore").isNull() | F.col("candidate.projectScore").between(0, 100)),
+        ("candidate.simHash", "malformed", F.col("candidate.simHash").isNull() | F.col("candidate.simHash").rlike("^[a-f0-9]{16}$")),
+        ("candidate.clusterId", "must have 1 to 100 characters", F.col("candidate.clusterId").isNull() | size("candidate.clusterId").between(1, 100)),
+        ("candidate.duplicateOf", "must have 1 to 100 characters", F.col("candidate.duplicateOf").isNull() | size("candidate.duplicateOf").between(1, 100)),
         ("candidate.contentHash", "malformed", F.col("candidate.contentHash").isNull() | F.col("candidate.contentHash").rlike("^[a-f0-9]{16}$")),
     ]
 
@@ -137,6 +153,22 @@ i AS (
     CASE WHEN suggestedTags IS NULL OR len(suggestedTags) <= 20 THEN NULL ELSE 'suggestedTags|more than 20' END,
     CASE WHEN its_site = source THEN NULL ELSE 'source|does not fit the address' END,
     CASE WHEN canonicalUrl = canonical THEN NULL ELSE 'canonicalUrl|is not the canonical address' END,
+    CASE WHEN schemaVersion = 1 THEN NULL ELSE 'schemaVersion|must be 1' END,
+    CASE WHEN length(html) <= 10000000 THEN NULL ELSE 'html|missing or too long' END,
+    CASE WHEN length(text) <= 5000000 THEN NULL ELSE 'text|missing or too long' END,
+    CASE WHEN images IS NULL OR len(list_filter(images, lambda i: NOT coalesce(length(i.url) <= 4096, false))) = 0 THEN NULL ELSE 'images.url|not an address' END,
+    CASE WHEN images IS NULL OR len(list_filter(images, lambda i: length(trim(i.alt)) > 500)) = 0 THEN NULL ELSE 'images.alt|too long' END,
+    CASE WHEN questioner IS NULL OR length(trim(questioner)) <= 200 THEN NULL ELSE 'questioner|too long' END,
+    CASE WHEN suggestedCategory IS NULL OR length(trim(suggestedCategory)) <= 100 THEN NULL ELSE 'suggestedCategory|too long' END,
+    CASE WHEN userCategory IS NULL OR length(trim(userCategory)) <= 100 THEN NULL ELSE 'userCategory|too long' END,
+    CASE WHEN userTags IS NULL OR len(userTags) <= 20 THEN NULL ELSE 'userTags|more than 20' END,
+    CASE WHEN suggestedTags IS NULL OR len(list_filter(suggestedTags, lambda t: NOT coalesce(length(trim(t)) BETWEEN 1 AND 50, false))) = 0 THEN NULL ELSE 'suggestedTags|must have 1 to 50 characters' END,
+    CASE WHEN userTags IS NULL OR len(list_filter(userTags, lambda t: NOT coalesce(length(trim(t)) BETWEEN 1 AND 50, false))) = 0 THEN NULL ELSE 'userTags|must have 1 to 50 characters' END,
+    CASE WHEN candidate.qualityScore IS NULL OR candidate.qualityScore BETWEEN 0 AND 100 THEN NULL ELSE 'candidate.qualityScore|must be 0 to 100' END,
+    CASE WHEN candidate.projectScore IS NULL OR candidate.projectScore BETWEEN 0 AND 100 THEN NULL ELSE 'candidate.projectScore|must be 0 to 100' END,
+    CASE WHEN candidate.simHash IS NULL OR regexp_matches(candidate.simHash, '^[a-f0-9]{{16}}$') THEN NULL ELSE 'candidate.simHash|malformed' END,
+    CASE WHEN candidate.clusterId IS NULL OR length(trim(candidate.clusterId)) BETWEEN 1 AND 100 THEN NULL ELSE 'candidate.clusterId|must have 1 to 100 characters' END,
+    CASE WHEN candidate.duplicateOf IS NULL OR length(trim(candidate.duplicateOf)) BETWEEN 1 AND 100 THEN NULL ELSE 'candidate.duplicateOf|must have 1 to 100 characters' END,
     CASE WHEN candidate.contentHash IS NULL OR regexp_matches(candidate.contentHash, '^[a-f0-9]{{16}}$') THEN NULL ELSE 'candidate.contentHash|malformed' END
   ], lambda x: x IS NOT NULL)) AS issue FROM all_rows)
 SELECT split_part(issue, '|', 1) AS path, split_part(issue, '|', 2) AS message, count(*) AS rows FROM i GROUP BY ALL""")

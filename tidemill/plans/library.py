@@ -64,16 +64,14 @@ def failures_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("failure_classes", """
-SELECT CASE WHEN regexp_matches(e, '(?i)merge|conflict|unmerged') THEN 'merge' WHEN regexp_matches(e, '(?i)not a git repository') THEN 'repository'
-  WHEN regexp_matches(e, '(?i)auth|permission|username') THEN 'credentials' WHEN regexp_matches(e, '(?i)rejected|non-fast-forward|behind|fetch first') THEN 'behind'
-  WHEN regexp_matches(e, '(?i)timeout|timed out') THEN 'timeout' ELSE 'other' END AS class, count(*) AS rows FROM (SELECT sync.error AS e FROM catalog) WHERE e IS NOT NULL GROUP BY ALL""")
+_CLASS_SQL = " ".join("WHEN regexp_matches(e, '{}') THEN '{}'".format(p.replace("'", "''"), c) for p, c in library.FAILURES)
+
+
+@query("failure_classes", f"SELECT CASE {_CLASS_SQL} ELSE 'other' END AS class, count(*) AS rows FROM (SELECT sync.error AS e FROM catalog) WHERE e IS NOT NULL GROUP BY ALL")
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery errors by an ordered ladder of patterns."""
-    rules = [("(?i)merge|conflict|unmerged", "merge"), ("(?i)not a git repository", "repository"), ("(?i)auth|permission|username", "credentials"),
-             ("(?i)rejected|non-fast-forward|behind|fetch first", "behind"), ("(?i)timeout|timed out", "timeout")]
     errors = _catalog(spark, sf_dir).select(F.col("sync.error").alias("e")).where("e is not null")
-    return errors.groupBy(text.first_match(F.col("e"), rules, "other").alias("class")).agg(F.count("*").alias("rows"))
+    return errors.groupBy(text.first_match(F.col("e"), library.FAILURES, "other").alias("class")).agg(F.count("*").alias("rows"))
 
 
 _ROUTES = {"wechat": ["repo-a", "markdown", "repo-a"], "zsxq": ["gone"], "nowcoder": ["repo-b"], "github": []}

@@ -143,7 +143,7 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("address_ranges", """
-SELECT pub, count(*) AS n FROM (SELECT NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168)
+SELECT pub, count(*) AS n FROM (SELECT NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 88 AND c = 99)
   OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AS pub
   FROM (SELECT event_id % 256 AS a, (event_id // 7) % 256 AS b, user_id % 256 AS c FROM events)) GROUP BY pub""")
 def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.operators import timestamps
-from tidemill.plans import captures, jobs, library, pages, relational  # noqa: F401 - importing enters their queries
+from tidemill.plans import captures, jobs, library, pages, relational, upkeep  # noqa: F401 - importing enters their queries
 from tidemill.plans.book import QUERIES, SQL, Query
 from tidemill.streaming import jobs as _streams  # noqa: F401 - after the plans, whose SQL they share
 
