@@ -135,7 +135,8 @@ def closest(queries: DataFrame, records: DataFrame, most: int = 5, grams: int =
     pairs = cut(shared.agg(F.count("*").alias("n")))
 
     def best(x: pd.DataFrame) -> pd.DataFrame:
-        return x.sort_values(["seq", "common", "topic_id"], ascending=[True, False, True]).groupby("seq").head(most)
+        top = x.sort_values(["seq", "common", "topic_id"], ascending=[True, False, True]).groupby("seq").head(most)
+        return top.assign(topic_id=pd.Series(top["topic_id"].tolist(), index=top.index, dtype=object))  # one piece of memory, as Arrow wants it
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -159,8 +160,10 @@ def closest(queries: DataFrame, records: DataFrame, most: int = 5, grams: int =
     theirs = r.withColumn("block", F.pmod(F.xxhash64("topic_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = [best(pd.DataFrame({"seq": seq, "topic_id": y["topic_id"].to_numpy(object), "common": longest_runs(a, y["b"].tolist())})) for seq, a in zip(x["seq"], x["a"], strict=True)]
-        return pd.concat(out) if out else pd.DataFrame({"seq": [], "topic_id": [], "common": []})
+        if not len(x) or not len(y):
+            return pd.DataFrame({"seq": pd.Series(dtype="int64"), "topic_id": pd.Series(dtype=object), "common": pd.Series(dtype="int32")})
+        ids, texts = y["topic_id"].tolist(), y["b"].tolist()
+        return best(pd.concat([best(pd.DataFrame({"seq": seq, "topic_id": ids, "common": longest_runs(a, texts)})) for seq, a in zip(x["seq"], x["a"], strict=True)]))
 
     keys = ["part", "block"]
     rest = mine.withColumn("part", F.col("part").cast("int")).groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(compare, TOP)
