@@ -281,3 +281,12 @@ def test_popular_content_keeps_few_versions(spark, monkeypatch):
     every = cluster.versions(df)
     kept = cluster.least_so_far(every).where("ch = 'hot' and until is null").count()
     assert kept < 0.2 * every.where("ch = 'hot' and until is null").count()
+
+
+def test_accounts_are_one_however_written(spark, tmp_path):
+    import __spark_entry__ as engine
+
+    rows = [("a", "Zoé"), ("a", " zoé "), ("a", "ＺＯÉ"), ("b", "zoé"), ("a", None), ("a", "Ann")]
+    spark.createDataFrame(rows, "source string, author string").write.parquet(str(tmp_path / "collected_documents.parquet"))
+    got = sorted(tuple(r) for r in engine.queries()["authors"](spark, str(tmp_path)).collect())
+    assert got == [("a", "ann", 1), ("a", "zoé", 3), ("b", "zoé", 1)]

@@ -142,10 +142,15 @@ def entry_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _catalog(spark, sf_dir).where("title is not null").select("title").distinct().select("title", text.slug(F.col("title")).alias("slug"))
 
 
-@query("front_matter")
+_HEAD = ("id", "source", "title", "url", "category", "publishedAt", "updatedAt")
+_HEAD_SQL = ", ".join(f"CASE WHEN {n} IS NOT NULL THEN '{n}: ' || to_json({n})::VARCHAR END" for n in _HEAD)
+
+
+@query("front_matter", f"""
+WITH {_LATEST_SQL} SELECT id, '---' || chr(10) || array_to_string(list_filter([{_HEAD_SQL}], lambda x: x IS NOT NULL), chr(10)) || chr(10) || '---' || chr(10) AS head FROM latest""")
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads of the files that the store writes."""
-    fields = [(n, F.col(n)) for n in ("id", "source", "title", "url", "category", "publishedAt", "updatedAt")]
+    fields = [(n, F.col(n)) for n in _HEAD]
     return latest(_catalog(spark, sf_dir)).select("id", library.front_matter(fields).alias("head"))
 
 
