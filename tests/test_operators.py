@@ -246,6 +246,35 @@ def test_closest_equals_all_pairs(spark):
         assert [(r.topic_id, r.common) for r in sorted((r for r in got if r.seq == seq), key=lambda r: r["rank"])] == want
 
 
+def _all_pairs(queries, records, most=5):
+    from difflib import SequenceMatcher
+
+    runs = {q: sorted((-SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size, i) for i, b in records) for q, a in queries}
+    return sorted(((q, i, -n, k + 1) for q, x in runs.items() for k, (n, i) in enumerate(x[:most]) if n), key=repr)
+
+
+def test_closest_keeps_no_pairs(spark, monkeypatch):
+    # every query shares the opening with every record: pairs would be queries x records
+    rng = random.Random(24)
+    word = lambda: "共同的开头大家都有一样" + "".join(chr(rng.randrange(0x4E00, 0x4E40)) for _ in range(rng.randrange(1, 25)))
+    records, queries = [(f"r{i:03d}", word()) for i in range(300)], [(i, word()) for i in range(30)]
+    kept, cut = [], match.cut
+    monkeypatch.setattr(match, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = match.closest(spark.createDataFrame(queries, "seq long, text string"), spark.createDataFrame(records, "topic_id string, text string"))
+    assert rows(got) == _all_pairs(queries, records)
+    assert sum(df.count() for df in kept) <= len(records) + len(queries)
+
+
+def test_closest_over_blocks(spark):
+    rng = random.Random(25)
+    stock = ["".join(rng.choice("abcd") for _ in range(9)) for _ in range(5)] + ["a" * 40, "𝒳字"]
+    word = lambda: "".join(rng.choice(stock) if rng.random() < 0.6 else rng.choice("efgh") for _ in range(rng.randrange(1, 6)))
+    records, queries = [(f"r{i:03d}", word()) for i in range(120)], [(i, word()) for i in range(20)] + [(50, "zz")]
+    q, r = spark.createDataFrame(queries, "seq long, text string"), spark.createDataFrame(records, "topic_id string, text string")
+    assert rows(match.closest(q, r, block=7)) == rows(match.closest(q, r)) == _all_pairs(queries, records)
+    assert rows(match.closest(q.limit(0), r)) == rows(match.closest(q, r.limit(0))) == []
+
+
 def test_needles_in_texts(spark):
     rng = random.Random(22)
     word = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4E20)) for _ in range(n))
