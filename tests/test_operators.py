@@ -275,6 +275,20 @@ def test_closest_over_blocks(spark):
     assert rows(match.closest(q.limit(0), r)) == rows(match.closest(q, r.limit(0))) == []
 
 
+def test_closest_reads_whole_texts(spark):
+    # what is shared begins behind the 240th character, crosses it, or is longer; a short run in the openings doesn't win
+    rng = random.Random(26)
+    word = lambda n, at=0x4E00: "".join(chr(rng.randrange(at, at + 0x800)) for _ in range(n))
+    late, long, opening = word(40), word(900), word(9)
+    queries = [(1, opening + word(700) + late), (2, word(200) + long + word(50)), (3, word(3000, 0x6000) + "𝒳" * 30), (4, "a" * 700)]
+    records = [("open", opening + word(300)), ("late", word(2500) + late + word(9)), ("cross", word(230) + late), ("long", word(5) + long), ("part", long[100:700])]
+    records += [("end", word(4000, 0x6000) + "𝒳" * 29), ("a1", "a" * 650), ("a2", "ba" * 300 + "a" * 300), ("twin", "a" * 650)]
+    q, r = spark.createDataFrame(queries, "seq long, text string"), spark.createDataFrame(records, "topic_id string, text string")
+    got = rows(match.closest(q, r))
+    assert {(1, "cross", 40, 1), (1, "late", 40, 2), (2, "long", 900, 1), (2, "part", 600, 2), (3, "end", 29, 1), (4, "a1", 650, 1), (4, "twin", 650, 2), (4, "a2", 301, 3)} <= set(got)
+    assert got == rows(match.closest(q, r, block=1000)) == _all_pairs(queries, records)
+
+
 def test_needles_in_texts(spark):
     rng = random.Random(22)
     word = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4E20)) for _ in range(n))
