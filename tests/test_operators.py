@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +290,18 @@ def test_closest_reads_whole_texts(spark):
     assert got == rows(match.closest(q, r, block=1000)) == _all_pairs(queries, records)
 
 
+def test_closest_walks_past_repeats(monkeypatch):
+    # few records that repeat a run: a walk went by each of their suffixes alone
+    calls, ranked = [], match._ranked
+    monkeypatch.setattr(match, "_ranked", lambda *x: calls.append(1) or ranked(*x))
+    records, queries = ["a" * 2990, "ab" * 900, "a" * 2980, "c" + "a" * 500], ["a" * 3000, "b" + "a" * 2000, "ba" * 1000]
+    known = np.zeros((3, 5), np.int32)
+    got = sorted(zip(*(x.tolist() for x in match.nearest(queries, records, known, 5)), strict=True))
+    assert got == [(0, 0, 2990), (0, 1, 1), (0, 2, 2980), (0, 3, 500), (1, 0, 2000), (1, 1, 2), (1, 2, 2000), (1, 3, 500), (2, 0, 1), (2, 1, 1800), (2, 2, 1), (2, 3, 1)]
+    assert known.tolist() == [[2990, 2980, 500, 1, 0], [2000, 2000, 500, 2, 0], [1800, 1, 1, 1, 0]]
+    assert len(calls) < 200
+
+
 def test_needles_in_texts(spark):
     rng = random.Random(22)
     word = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4E20)) for _ in range(n))
